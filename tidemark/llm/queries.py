@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import balanced_lp, decontam, mixture, url_rules
+from tidemark.llm import balanced_lp, decontam, mixture, trie_join, url_rules
 from tidemark.llm.common import table
 
 #: Fixed by the contract.
@@ -31,6 +31,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's shingles and threshold."""
+    docs = trie_join.TrieJoin(table(spark, sf_dir, "documents"), k=4, percent=85).documents()
+    return docs.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.judged(decontam.find(docs, table(spark, sf_dir, "benchmark")))
@@ -38,7 +44,7 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixture, op6_url_rules, op8_decontam)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixture, op6_url_rules, op7_ngram_join, op8_decontam)}
 
 _U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _L = "abcdefghijklmnopqrstuvwxyz"
@@ -67,7 +73,7 @@ w as (select *, case i % 3 when 0 then 3 when 1 then 1 else 2 end as w, sum(n) o
 c as (
   select *, (total - coalesce(sum(2 * n) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level
   from w window b as (order by 2 * n / w, i rows between unbounded preceding and 1 preceding)),
-g as (select source, n, i, least(2.0 * n, w * (select min(level) from c where level < 2 * n / w)) as target, total from c),
+g as (select source, n, i, least(2.0 * n, w * (select level from c where level < 2 * n / w order by 2 * n / w, i limit 1)) as target, total from c),
 q as (select source, i, target / (2 * k - 1) as q from (select source, i, target, unnest(generate_series(1, (target / 32)::bigint + 3)) as k from g where target > 0)),
 s as (select source, count(*) * 32 as cut from (select source, row_number() over (order by q desc, i) as rank from q)
   where rank <= (select (max(total) * 2 + 32)::bigint // 64 from g) group by source),
@@ -88,4 +94,14 @@ k as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_
 select t.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from t left join c using (doc_id) left join k using (doc_id)""",
+    "op7_ngram_join": rf"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_U}', '{_L}'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+  from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) as i from t where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+e as (select x.doc_id as a, y.doc_id as b from g x join g y on x.g = y.g and x.doc_id <> y.doc_id join n p on p.doc_id = x.doc_id join n q on q.doc_id = y.doc_id
+  group by x.doc_id, y.doc_id, p.n, q.n having 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+r as (select doc_id as a, doc_id as b from t union select r.a, e.b from r join e on r.b = e.a),
+c as (select a as doc_id, min(b) as component_id from r group by a)
+select t.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id from t join c using (doc_id) left join n using (doc_id)""",
 }
