@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import balanced_lp, decontam, mixture, trie_join, url_rules
+from tidemark.llm import balanced_lp, decontam, media_sequences as media, mixture, paragraph_dedup, template_html, trie_join, url_rules
 from tidemark.llm.common import table
 
 #: Fixed by the contract.
@@ -21,11 +21,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_lp.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_template_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as the payload of one figure of a document; what is returned was read back from the media table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    payloads = docs.select(media.padded(F.col("text")).alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
+    found = media.features(media.store(payloads))
+    digest = F.sha2(media.padded(F.col("text")), 256)
+    figure = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.col("doc_id").cast("string"), F.lit("</figcaption></figure></article>"))
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), figure.alias("html"))
+    rows = media.resolve(media.parse_sequences(pages), found).where("kind = 'media'")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -44,7 +60,11 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_mixture, op6_url_rules, op7_ngram_join, op8_decontam)}
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op10_paragraph_dedup)}
 
 _U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _L = "abcdefghijklmnopqrstuvwxyz"

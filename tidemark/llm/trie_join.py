@@ -153,32 +153,21 @@ def _verify(k: int, percent: int, heavy: np.ndarray, place: np.ndarray):
     return run
 
 
-class TrieJoin:
-    """The join over one table. classes: id, n, cls (the least id with the same set). links(): a, b of classes."""
+class StarJoin:
+    """Links between texts that share a candidate key. texts: id, text (unique ids unless `repeated`)."""
 
-    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = 256, max_heavy: int = 1 << 18, heavy_share: int = 2000, broadcast_rows: int = 400_000):
-        self.spark, self.k, self.percent, self.block, self.broadcast_rows = docs.sparkSession, k, percent, block, broadcast_rows
-        self.texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 4), "kind int, id long, n long, digest binary"), "ngrams")
-        rows = told.where("kind = 0")
-        # an n-gram is heavy in more than one text in heavy_share; the list holds at most max_heavy
-        floor = max(16, rows.count() // heavy_share)
-        often = told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-        top = often.orderBy(F.desc("n"), "id").limit(max_heavy).toPandas()  # max_heavy rows of 16 bytes at most
-        rank = np.arange(len(top), dtype=np.uint64)[::-1]  # the most frequent last
-        by = np.argsort(grams := top["id"].to_numpy(np.int64).view(np.uint64))
-        self.heavy, self.place = grams[by], rank[by]
-        first = rows.groupBy("digest").agg(F.min("id").alias("cls"))
-        self.classes = cut(rows.join(first, "digest").select("id", "n", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("id")).alias("cls")))
-
-    def _near(self, ids: DataFrame, other: DataFrame, on: str, n: int) -> DataFrame:
-        """other joined to ids, which are sent to every task only if few."""
-        return other.join(F.broadcast(ids) if n <= self.broadcast_rows else ids, on)
+    def __init__(self, texts: DataFrame, k: int, percent: int, heavy: np.ndarray | None = None, place: np.ndarray | None = None, block: int = 256, broadcast_rows: int = 400_000, repeated: bool = False):
+        self.spark, self.texts, self.k, self.percent, self.block = texts.sparkSession, texts, k, percent, block
+        self.heavy = np.empty(0, np.uint64) if heavy is None else heavy
+        self.place = np.empty(0, np.uint64) if place is None else place
+        self.broadcast_rows, self.repeated = broadcast_rows, repeated
 
     def _checked(self, grouped: DataFrame) -> DataFrame:
-        """grouped: grp, role, id, comp. The links that the tries find."""
+        """grouped: grp, role, id, comp. The links that the tries find. Ids are sent to every task only if few."""
         grouped = cut(grouped)
-        with_text = self._near(grouped, self.texts.dropDuplicates(["id"]) if self.repeated else self.texts, "id", grouped.count())
+        few = grouped.count() <= self.broadcast_rows
+        texts = self.texts.dropDuplicates(["id"]) if self.repeated else self.texts
+        with_text = texts.join(F.broadcast(grouped) if few else grouped, "id")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = with_text.repartition(parts, "grp").sortWithinPartitions("grp", "role", "id")
         return cut(dealt.mapInPandas(_verify(self.k, self.percent, self.heavy, self.place), "a long, b long"))
@@ -192,14 +181,10 @@ class TrieJoin:
         queries = dealt.select(name, F.lit(0).alias("role"), F.col("a").alias("id"), none).distinct()
         return self._checked(queries.unionByName(dealt.select(name, F.lit(1).alias("role"), F.col("b").alias("id"), none)))
 
-    def links(self) -> DataFrame:
-        """Links a, b between classes that have the components of all links."""
-        short = "100 * least(na, nb) >= {p} * greatest(na, nb)".format(p=self.percent)
-        self.repeated = self.classes.count() > self.classes.select("id").distinct().count()
-        own = self.classes.select("id", "cls", "n").distinct()
-        prefixes = stored(self.texts.mapInPandas(_prefixes(self.k, self.percent, "id", "text", self.heavy, self.place), "gram long, id long"), "prefixes")
-        shared = prefixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        active = cut(prefixes.join(shared, "gram").select("gram", "id", "low"))
+    def links(self, active: DataFrame, own: DataFrame) -> DataFrame:
+        """Links a, b between classes that have the components of all links. active: gram, id, low (the least id of
+        the gram); own: id, cls, n."""
+        short = f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
         met = active.groupBy("id", "low").agg(F.count("*").alias("c"))
         a, b = own.selectExpr("id", "cls as a", "n as na"), own.selectExpr("id as low", "cls as b", "n as nb")
         stars = met.join(a, "id").join(b, "low").where("a <> b").where(short)
@@ -211,8 +196,7 @@ class TrieJoin:
         la, lb = label.selectExpr("cls as a", "comp as ca"), label.selectExpr("cls as b", "comp as cb")
         rest = stars.join(best, ["a", "b"], "left_anti").join(la, "a").join(lb, "b").where("ca <> cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
         tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        second = self._pairs_checked(rest)
-        found = cut(found.unionByName(second))
+        found = cut(found.unionByName(self._pairs_checked(rest)))
         label = self._labels(own, found)
         return cut(found.unionByName(self._across(active, own, label, tried, short)))
 
@@ -243,6 +227,33 @@ class TrieJoin:
         others = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), "k"))).select(name("j", "k"), F.lit(1).alias("role"), F.col("cls").alias("id"), "comp")
         return out.unionByName(self._checked(queries.unionByName(others)))
 
+
+class TrieJoin:
+    """The join over one table."""
+
+    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", max_heavy: int = 1 << 18, heavy_share: int = 2000, block: int = 256):
+        self.texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 4), "kind int, id long, n long, digest binary"), "ngrams")
+        rows = told.where("kind = 0")
+        # an n-gram is heavy in more than one text in heavy_share; the list holds at most max_heavy
+        floor = max(16, rows.count() // heavy_share)
+        often = told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+        top = often.orderBy(F.desc("n"), "id").limit(max_heavy).toPandas()  # max_heavy rows of 16 bytes at most
+        rank = np.arange(len(top), dtype=np.uint64)[::-1]  # the most frequent last
+        by = np.argsort(grams := top["id"].to_numpy(np.int64).view(np.uint64))
+        self.heavy, self.place, self.k, self.percent = grams[by], rank[by], k, percent
+        first = rows.groupBy("digest").agg(F.min("id").alias("cls"))
+        #: id, n, and cls: the least id with the same set
+        self.classes = cut(rows.join(first, "digest").select("id", "n", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("id")).alias("cls")))
+        repeated = self.classes.count() > self.classes.select("id").distinct().count()
+        self.star = StarJoin(self.texts, k, percent, self.heavy, self.place, block, repeated=repeated)
+
+    def links(self) -> DataFrame:
+        prefixes = stored(self.texts.mapInPandas(_prefixes(self.k, self.percent, "id", "text", self.heavy, self.place), "gram long, id long"), "prefixes")
+        shared = prefixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+        active = cut(prefixes.join(shared, "gram").select("gram", "id", "low"))
+        return self.star.links(active, self.classes.select("id", "cls", "n").distinct())
+
     def documents(self) -> DataFrame:
         """id, n, cls, comp for every row."""
         label = components(self.links())
