@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import balanced_lp, decontam, media_sequences as media, mixture, paragraph_dedup, template_html, trie_join, url_rules
+from tidemark.llm import balanced_lp, decontam, language_crf, media_sequences as media, mixture, paragraph_dedup, template_html, trie_join, url_rules
 from tidemark.llm.common import table
 
 #: Fixed by the contract.
@@ -25,6 +25,17 @@ def op2_template_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def _fold(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_crf.identify(docs, _fold(4) != 2)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -64,7 +75,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op10_paragraph_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op3_language_crf, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op10_paragraph_dedup)}
 
 _U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _L = "abcdefghijklmnopqrstuvwxyz"

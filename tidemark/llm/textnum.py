@@ -48,12 +48,13 @@ def chunks(texts: list, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def words(texts: list, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number, text index, first byte and end byte of every word of the texts joined by line feeds, and the bytes."""
+def words(texts: list, lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number, text index, first byte and end byte of every word of the texts joined by line feeds, and the bytes.
+    between: which bytes are no part of words; a line feed must be one."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = b"\n".join(raw) + b"\n"
     data = np.frombuffer(joined.translate(_LOWER) if lower else joined, np.uint8)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     first, end = edge[0::2], edge[1::2]  # the last byte is a space, so every word ends
     sums = np.zeros(len(data) + 1, np.uint64)
@@ -85,3 +86,19 @@ def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
                 yield mix64(np.array([whole ^ int(hi - lo)], np.uint64))
             else:
                 yield np.empty(0, np.uint64)
+
+
+#: All ASCII but letters: words of letters only, whatever stands around them.
+NOT_LETTERS = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+
+
+def gram_positions(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions of all words in a row, and where each word begins among them."""
+    n = end - first
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - first, n), ends - n
+
+
+def bucket(values: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    """Values dealt to 2**bits buckets."""
+    return (mix64(values.astype(np.uint64) + np.uint64(salt * 0x1000000000)) >> np.uint64(64 - bits)).astype(np.int64)
