@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import balanced_lp, decontam, language_crf, media_sequences as media, mixture, paragraph_dedup, template_html, trie_join, url_rules
+from tidemark.llm import balanced_lp, decontam, language_crf, media_sequences as media, mixture, paragraph_dedup, template_html, toxicity_rnn, trie_join, url_rules
 from tidemark.llm.common import table
 
 #: Fixed by the contract.
@@ -71,11 +71,17 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity_rnn.classify(docs, table(spark, sf_dir, "labels"), _fold(5) != 0)
+    return found.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op3_language_crf, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op10_paragraph_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op3_language_crf, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op9_toxicity, op10_paragraph_dedup)}
 
 _U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _L = "abcdefghijklmnopqrstuvwxyz"
