@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import balanced_lp, decontam, mixture
-from tidemark.llm.common import table
+from tidemark.llm import balanced_lp, decontam, mixture, toxicity_rnn, trie_join
+from tidemark.llm.common import cut, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network rejects go; it is trained on the labelled ones outside the held-out fold."""
+    trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    judged = toxicity_rnn.classify(docs, table(spark, sf_dir, "labels"), trains)
+    return judged.where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 400_000) -> DataFrame:
+    """Of each component of texts with 80 % of their 5-word n-grams in common, the document with the least id stays."""
+    found = trie_join.TrieJoin(docs).documents().where("id <> comp").select(F.col("id").alias("doc_id")).distinct()
+    gone = cut(found)
+    few = gone.count() <= broadcast_rows
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +39,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontaminate),
     ("mixture", mix_sources),
     ("sharding", shard),

@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs. A word is a run of letters, A-Z lower-cased. Its input joins a word embedding (vocabulary of the training
-sample, with a smoothed log-odds start) and the mean embedding of its hashed byte trigrams with word borders. Both
+Inputs. A word is a run of letters, A-Z lower-cased; a word right after itself is read once. Its input joins a word embedding (vocabulary of the training
+sample, with a cautious log-odds start) and the mean embedding of its hashed byte trigrams with word borders. Both
 are looked up, and multiplied by the input weights, once for each distinct word.
 
 Windows. All windows of `width` words at every half width, to the end of the text; each is read in both directions, its states
@@ -221,10 +221,13 @@ def _places(begin: np.ndarray, length: np.ndarray, width: int, last: int) -> tup
 
 
 class Texts:
-    """Words of texts with their distinct words."""
+    """Words of texts with their distinct words; a word right after itself is read once."""
 
-    def __init__(self, texts: list, network: Network | None = None):
-        self.number, owner, first, end, data = words(texts, between=NOT_LETTERS)
+    def __init__(self, texts: list):
+        number, owner, first, end, data = words(texts, between=NOT_LETTERS)
+        new = np.ones(len(number), bool)
+        new[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
+        self.number, owner, first, end = number[new], owner[new], first[new], end[new]
         self.bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         self.distinct, at, self.spot = np.unique(self.number, return_index=True, return_inverse=True)
         self.grams, self.begins = trigrams(first[at], end[at], data) if len(at) else (np.empty(0, np.int64), at)
@@ -259,7 +262,7 @@ def thin(texts: list) -> list[int]:
     return kept
 
 
-def train(texts: list, truth: list, epochs: int = 8, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.15, seed: int = 3) -> Network | None:
+def train(texts: list, truth: list, epochs: int = 8, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.1, seed: int = 3) -> Network | None:
     kept = thin(texts)
     texts, truth = [texts[i] for i in kept] + [""], np.array([truth[i] for i in kept] + [0], np.float32)
     if not truth.any() or len(truth) < 3 or truth[:-1].all():
@@ -294,7 +297,7 @@ def train(texts: list, truth: list, epochs: int = 8, batch: int = 128, rate: flo
         chosen = np.concatenate([top, draw.choice(clean, min(len(clean), len(texts)), replace=False)])
         chosen = draw.permutation(chosen)
         good = truth[owner[chosen]] > 0
-        weight_of = np.where(good, (len(chosen) - good.sum()) / max(1, good.sum()) * 0.25, 1.0)
+        weight_of = np.where(good, (len(chosen) - good.sum()) / max(1, good.sum()) * 0.15, 1.0)
         for i in range(0, len(chosen), batch):
             c = chosen[i : i + batch]
             places, mask = _places(begin[c], length[c], network.width, len(held.spot) - 1)
