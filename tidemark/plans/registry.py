@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tidemark.plans import bars, joins  # noqa: F401  register on import
+from tidemark.plans.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
