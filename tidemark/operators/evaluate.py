@@ -32,12 +32,12 @@ def distribution_shift(rows: DataFrame, feature: str, value: str, is_reference:
     )
     counts = rows.groupBy(feature, value).agg(F.count_if(ref).alias("_r"), F.count_if(~ref).alias("_c"))
     by = W.partitionBy(feature).orderBy(value)
-    d = counts.withColumns({"_R": F.sum("_r").over(by), "_C": F.sum("_c").over(by)}).join(F.broadcast(stats), feature)  # one row a feature
+    d = counts.withColumns({"_run_r": F.sum("_r").over(by), "_run_c": F.sum("_c").over(by)}).join(F.broadcast(stats), feature)  # one row a feature
     out = (x < F.col("_lo")) | (x > F.col("_hi"))
     return d.groupBy(feature).agg(
         F.first("ref_mean").alias("ref_mean"), F.first("cur_mean").alias("cur_mean"),
         F.first(F.when(F.col("_sd") > 0, (F.col("cur_mean") - F.col("ref_mean")) / F.col("_sd"))).alias("standardised"),
-        F.max(F.abs(F.col("_R") / F.col("_nr") - F.col("_C") / F.col("_nc"))).alias("cdf_distance"),
+        F.max(F.abs(F.col("_run_r") / F.col("_nr") - F.col("_run_c") / F.col("_nc"))).alias("cdf_distance"),
         (F.sum(F.when(out, F.col("_c")).otherwise(0)) / F.first("_nc")).alias("outside"),
     )
 

@@ -43,7 +43,7 @@ def path_targets(rows: DataFrame, horizon: int, amplitude: float) -> DataFrame:
     })
     for side, at, sign in (("up", "_u", -1), ("down", "_d", 1)):
         before = F.slice("_r", F.lit(1), F.greatest(F.col(at), F.lit(1)))
-        worst = F.greatest(F.array_max(F.transform(before, lambda v, s=sign: s * v)), F.lit(0.0))
+        worst = F.greatest(sign * (F.array_min(before) if sign < 0 else F.array_max(before)), F.lit(0.0))
         d = d.withColumns({f"{side}_hit": (F.col(at) > 0).cast("int"), f"{side}_first": F.when(F.col(at) > 0, F.col(at) - 1), f"{side}_adverse": F.when(F.col(at) > 0, worst)})
     return d.drop("_r", "_travel", "_u", "_d", "path")
 

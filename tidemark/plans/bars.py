@@ -197,11 +197,11 @@ def peer_context(spark, d):
     return out.select("symbol", "open_us", r6("peer_return"), r6("relative_short"), r6("relative_long"), r6("peer_positive"), F.round("peer_dispersion", 5).alias("peer_dispersion"))
 
 
-@query("w07_sequence", f"""with {SEGMENTS}, x as (select symbol, open_us, segment, round(close / lag(close) over w - 1, 6) as r, round(ln(1 + turnover), 6) as q from segs window w as (partition by symbol, segment order by open_us))
+@query("w07_sequence", f"""with {SEGMENTS}, x as (select symbol, open_us, segment, round((close / lag(close) over w - 1) * 10000)::bigint as r, round(ln(1 + turnover) * 10000)::bigint as q from segs window w as (partition by symbol, segment order by open_us))
 select symbol, open_us, concat_ws(',', lag(r, 2) over w, lag(r) over w, r) as returns, concat_ws(',', lag(q, 2) over w, lag(q) over w, q) as turnovers from x window w as (partition by symbol, segment order by open_us) qualify lag(r, 2) over w is not null""")
 def sequence(spark, d):
     out = X.past_sequence(segs(spark, d), 3).where("c_returns is not null")
-    told = lambda c: F.concat_ws(",", F.transform(c, lambda v: F.round(v, 6).cast("string")))
+    told = lambda c: F.concat_ws(",", F.transform(c, lambda v: F.round(v * 10000).cast("long").cast("string")))
     return out.select("symbol", "open_us", told("c_returns").alias("returns"), told("c_turnovers").alias("turnovers"))
 
 
