@@ -8,6 +8,8 @@ Candidates. Two sets of similarity >= percent/100 share one of the first n - cei
 each. Prefixes are dealt by n-gram; each document meets the least document of each of its prefix n-grams (a star, not
 all pairs of a group). Documents with equal sets are one class and meet once.
 
+Pruning before texts move: counts of each set's numbers by 256 bins bound an intersection from above.
+
 Verification. The candidates of a query, in blocks of `block`, form a trie of ordered sets. The query walks it once:
 candidates with a common path share its partial overlap, and a subtree goes when the overlap so far plus the shorter
 remainder stays under what its lengths ask for. Overlaps are exact.
@@ -35,6 +37,8 @@ from tidemark.llm.components import components
 from tidemark.llm.textnum import shingle_sets
 
 _TOP = np.uint64(1 << 63)
+#: Numbers of a set are counted by their leading bits: the sum of the lesser counts bounds an intersection from above.
+BINS, _BIN_SHIFT = 256, np.uint64(56)
 
 
 def least_overlap(a, b, percent: int):
@@ -101,11 +105,12 @@ def _describe(k: int, doc_id: str, text: str, least: int):
                 "id": batch[doc_id].to_numpy(),
                 "n": np.fromiter((len(s) for s in sets), np.int64, len(sets)),
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "bins": [np.bincount(s >> _BIN_SHIFT, minlength=BINS).astype(np.int32) if len(s) else np.empty(0, np.int32) for s in sets],
             })
             if sum(map(len, sets)):
                 grams, counts = np.unique(np.concatenate(sets), return_counts=True)
                 often = counts >= least
-                yield pd.DataFrame({"kind": np.ones(often.sum(), np.int32), "id": grams[often].view(np.int64), "n": counts[often], "digest": None})
+                yield pd.DataFrame({"kind": np.ones(often.sum(), np.int32), "id": grams[often].view(np.int64), "n": counts[often], "digest": None, "bins": None})
 
     return run
 
@@ -156,11 +161,11 @@ def _verify(k: int, percent: int, heavy: np.ndarray, place: np.ndarray):
 class StarJoin:
     """Links between texts that share a candidate key. texts: id, text (unique ids unless `repeated`)."""
 
-    def __init__(self, texts: DataFrame, k: int, percent: int, heavy: np.ndarray | None = None, place: np.ndarray | None = None, block: int = 256, broadcast_rows: int = 400_000, repeated: bool = False):
+    def __init__(self, texts: DataFrame, k: int, percent: int, heavy: np.ndarray | None = None, place: np.ndarray | None = None, block: int = 256, broadcast_rows: int = 400_000, repeated: bool = False, bins: DataFrame | None = None):
         self.spark, self.texts, self.k, self.percent, self.block = texts.sparkSession, texts, k, percent, block
         self.heavy = np.empty(0, np.uint64) if heavy is None else heavy
         self.place = np.empty(0, np.uint64) if place is None else place
-        self.broadcast_rows, self.repeated = broadcast_rows, repeated
+        self.broadcast_rows, self.repeated, self.bins = broadcast_rows, repeated, bins
 
     def _checked(self, grouped: DataFrame) -> DataFrame:
         """grouped: grp, role, id, comp. The links that the tries find. Ids are sent to every task only if few."""
@@ -172,8 +177,22 @@ class StarJoin:
         dealt = with_text.repartition(parts, "grp").sortWithinPartitions("grp", "role", "id")
         return cut(dealt.mapInPandas(_verify(self.k, self.percent, self.heavy, self.place), "a long, b long"))
 
+    def _plausible(self, pairs: DataFrame) -> DataFrame:
+        """pairs without those that the counts by bin rule out: no link goes, and texts of few others are moved."""
+        if self.bins is None:
+            return pairs
+        pairs = cut(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        few = pairs.count() * 2 <= self.broadcast_rows
+        held = cut(self.bins.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"]))
+        both = pairs.join(held.selectExpr("id as a", "bins as x"), "a").join(held.selectExpr("id as b", "bins as y"), "b")
+        total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+        most = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
+        return both.where((100 + self.percent) * most >= self.percent * (total("x") + total("y"))).select("a", "b")
+
     def _pairs_checked(self, pairs: DataFrame) -> DataFrame:
         """pairs: a, b of classes. Candidates of a in blocks of up to about `block`, dealt by hash."""
+        pairs = cut(self._plausible(pairs))
         fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / self.block).alias("blocks"))
         dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("salt"))
         name = F.concat_ws(":", "a", "salt").alias("grp")
@@ -233,7 +252,7 @@ class TrieJoin:
 
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", max_heavy: int = 1 << 18, heavy_share: int = 2000, block: int = 256):
         self.texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 4), "kind int, id long, n long, digest binary"), "ngrams")
+        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 4), "kind int, id long, n long, digest binary, bins array<int>"), "ngrams")
         rows = told.where("kind = 0")
         # an n-gram is heavy in more than one text in heavy_share; the list holds at most max_heavy
         floor = max(16, rows.count() // heavy_share)
@@ -246,7 +265,7 @@ class TrieJoin:
         #: id, n, and cls: the least id with the same set
         self.classes = cut(rows.join(first, "digest").select("id", "n", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("id")).alias("cls")))
         repeated = self.classes.count() > self.classes.select("id").distinct().count()
-        self.star = StarJoin(self.texts, k, percent, self.heavy, self.place, block, repeated=repeated)
+        self.star = StarJoin(self.texts, k, percent, self.heavy, self.place, block, repeated=repeated, bins=rows.select("id", "bins"))
 
     def links(self) -> DataFrame:
         prefixes = stored(self.texts.mapInPandas(_prefixes(self.k, self.percent, "id", "text", self.heavy, self.place), "gram long, id long"), "prefixes")
