@@ -250,13 +250,12 @@ class StarJoin:
 class TrieJoin:
     """The join over one table."""
 
-    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", max_heavy: int = 1 << 18, heavy_share: int = 2000, block: int = 256):
+    def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", max_heavy: int = 1 << 20, heavy_from: int = 6, block: int = 256):
         self.texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 4), "kind int, id long, n long, digest binary, bins array<int>"), "ngrams")
+        told = stored(self.texts.mapInPandas(_describe(k, "id", "text", 2), "kind int, id long, n long, digest binary, bins array<int>"), "ngrams")
         rows = told.where("kind = 0")
-        # an n-gram is heavy in more than one text in heavy_share; the list holds at most max_heavy
-        floor = max(16, rows.count() // heavy_share)
-        often = told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+        # heavy: seen heavy_from times where a batch has it twice or more; the list holds the max_heavy most frequent
+        often = told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_from)
         top = often.orderBy(F.desc("n"), "id").limit(max_heavy).toPandas()  # max_heavy rows of 16 bytes at most
         rank = np.arange(len(top), dtype=np.uint64)[::-1]  # the most frequent last
         by = np.argsort(grams := top["id"].to_numpy(np.int64).view(np.uint64))
