@@ -3,8 +3,8 @@
 Law `rows`: shard counts are at most one apart. Linked documents (equal texts) start in hashed shards. In each
 iteration the members of a group are counted by shard (a small row for each group and shard, pre-aggregated), the
 group's target is the shard that holds most of it, and members move there as far as the target's quota allows; the
-quota is filled by a hash of group and iteration, so groups move whole. A group larger than a shard's half gets
-several targets in proportion. Afterwards what is above capacity leaves, and unlinked documents with these fill every
+quota is filled by a hash of group and iteration, so groups move whole. A group larger than nine tenths of a shard gets
+several targets. Afterwards what is above capacity leaves, and unlinked documents with these fill every
 shard to its exact count. The iterations touch only keys and shards, never texts.
 
 Ranks come from prefix sums over hash buckets, so no task holds a whole shard or group.
@@ -39,7 +39,7 @@ def propagate(linked: DataFrame, caps: list[int], iterations: int) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("c", F.xxhash64("class", "shard").alias("tie"), "shard")), asc=False).alias("held"),  # n_shards entries at most
             F.first("members").alias("members"),
         )
-        width = F.greatest(F.lit(1), F.ceil(F.col("members") / (0.5 * cap)).cast("int"))
+        width = F.greatest(F.lit(1), F.ceil(F.col("members") / (0.9 * cap)).cast("int"))
         goals = best.select("class", F.slice(F.col("held.shard"), F.lit(1), width).alias("goals"))
         wished = linked.join(goals, "class").withColumn(
             "goal",

@@ -98,7 +98,7 @@ def _emit(min_words: int, split_words: int, reach: int, k: int, bands: int, rows
                     continue
                 rolled = number.copy()
                 for j in range(1, k):
-                    rolled[: len(rolled) - j] = rolled[: len(rolled) - j] * np.uint64(_BASE) + number[j:]
+                    rolled[: max(0, len(rolled) - j)] = rolled[: max(0, len(rolled) - j)] * np.uint64(_BASE) + number[j:]
                 rolled = mix64(rolled)
                 n = np.maximum(1, b - a - k + 1)
                 ends = np.cumsum(n)

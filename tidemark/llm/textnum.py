@@ -73,7 +73,7 @@ def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
         rolled = number.copy()
         factor = np.uint64(_BASE)
         for j in range(1, k):
-            rolled[: len(rolled) - j] = rolled[: len(rolled) - j] * factor + number[j:]
+            rolled[: max(0, len(rolled) - j)] = rolled[: max(0, len(rolled) - j)] * factor + number[j:]
         rolled = mix64(rolled)
         for i in range(b - a):
             lo, hi = bounds[i], bounds[i + 1]

@@ -262,7 +262,7 @@ def thin(texts: list) -> list[int]:
     return kept
 
 
-def train(texts: list, truth: list, epochs: int = 8, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.1, seed: int = 3) -> Network | None:
+def train(texts: list, truth: list, epochs: int = 8, least_steps: int = 240, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.1, seed: int = 3) -> Network | None:
     kept = thin(texts)
     texts, truth = [texts[i] for i in kept] + [""], np.array([truth[i] for i in kept] + [0], np.float32)
     if not truth.any() or len(truth) < 3 or truth[:-1].all():
@@ -287,6 +287,7 @@ def train(texts: list, truth: list, epochs: int = 8, batch: int = 128, rate: flo
     vocabulary = network.lookup(held.distinct)
     lengths = np.diff(np.append(held.begins, len(held.grams)))
     step = 0
+    epochs = max(epochs, -(-least_steps * batch // (2 * len(texts))))  # few texts are seen more often
     for epoch in range(epochs):
         if epoch > 1:
             logits = held.scores(network)[0]
