@@ -65,9 +65,9 @@ def words(texts: list, lower: bool = True, between: np.ndarray = _SPACE) -> tupl
     return number, owner, first, end, data
 
 
-def shingle_sets(texts: list, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list, k: int, limit: int = 1 << 19) -> Iterator[np.ndarray]:
     """For each text the sorted distinct numbers of its k-word shingles (of the whole, if it has fewer words)."""
-    for a, b in chunks(texts):
+    for a, b in chunks(texts, limit):
         number, owner, *_ = words(texts[a:b])
         bounds = np.searchsorted(owner, np.arange(b - a + 1))
         rolled = number.copy()

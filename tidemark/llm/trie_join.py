@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import cut, stored
 from tidemark.llm.components import components
-from tidemark.llm.textnum import shingle_sets
+from tidemark.llm.textnum import chunks, shingle_sets
 
 _TOP = np.uint64(1 << 63)
 #: Numbers of a set are counted by their leading bits: the sum of the lesser counts bounds an intersection from above.
@@ -99,18 +99,27 @@ def _describe(k: int, doc_id: str, text: str, least: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(batch[text].tolist(), k))
-            yield pd.DataFrame({
-                "kind": np.zeros(len(sets), np.int32),
-                "id": batch[doc_id].to_numpy(),
-                "n": np.fromiter((len(s) for s in sets), np.int64, len(sets)),
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
-                "bins": [np.bincount(s >> _BIN_SHIFT, minlength=BINS).astype(np.int32) if len(s) else np.empty(0, np.int32) for s in sets],
-            })
-            if sum(map(len, sets)):
-                grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-                often = counts >= least
-                yield pd.DataFrame({"kind": np.ones(often.sum(), np.int32), "id": grams[often].view(np.int64), "n": counts[often], "digest": None, "bins": None})
+            ids, texts = batch[doc_id].to_numpy(), batch[text].tolist()
+            del batch
+            every = [np.empty(0, np.uint64)]
+            for lo, hi in chunks(texts):
+                sets = list(shingle_sets(texts[lo:hi], k))
+                every += sets
+                yield pd.DataFrame({
+                    "kind": np.zeros(len(sets), np.int32),
+                    "id": ids[lo:hi],
+                    "n": np.fromiter((len(s) for s in sets), np.int64, len(sets)),
+                    "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                    "bins": [np.bincount(s >> _BIN_SHIFT, minlength=BINS).astype(np.int32) if len(s) else np.empty(0, np.int32) for s in sets],
+                })
+            grams = np.concatenate(every)
+            del every
+            grams.sort()  # in place: an n-gram seen `least` times equals the one least - 1 places before it
+            later = grams[least - 1 :]
+            often = np.unique(later[later == grams[: len(later)]])
+            if len(often):
+                counts = np.searchsorted(grams, often, side="right") - np.searchsorted(grams, often)
+                yield pd.DataFrame({"kind": np.ones(len(often), np.int32), "id": often.view(np.int64), "n": counts, "digest": None, "bins": None})
 
     return run
 
@@ -118,15 +127,18 @@ def _describe(k: int, doc_id: str, text: str, least: int):
 def _prefixes(k: int, percent: int, doc_id: str, text: str, heavy: np.ndarray, place: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, parts, seen = [], [], set()
-            for i, s in zip(batch[doc_id].tolist(), shingle_sets(batch[text].tolist(), k)):
-                mark = s.tobytes() if len(s) < 3 else (len(s), s[:3].tobytes(), int(s.sum()))
-                if len(s) and mark not in seen:  # equal sets in one batch: one is enough, the classes know the rest
-                    seen.add(mark)
-                    parts.append(ordered(s, heavy, place)[: prefix_length(len(s), percent)])
-                    ids.append(i)
-            if ids:
-                yield pd.DataFrame({"gram": np.concatenate(parts).view(np.int64), "id": np.repeat(np.array(ids, np.int64), [len(p) for p in parts])})
+            every, texts, seen = batch[doc_id].tolist(), batch[text].tolist(), set()
+            del batch
+            for lo, hi in chunks(texts):
+                ids, parts = [], []
+                for i, s in zip(every[lo:hi], shingle_sets(texts[lo:hi], k)):
+                    mark = s.tobytes() if len(s) < 3 else (len(s), s[:3].tobytes(), int(s.sum()))
+                    if len(s) and mark not in seen:  # equal sets in one batch: one is enough, the classes know the rest
+                        seen.add(mark)
+                        parts.append(ordered(s, heavy, place)[: prefix_length(len(s), percent)])
+                        ids.append(i)
+                if ids:
+                    yield pd.DataFrame({"gram": np.concatenate(parts).view(np.int64), "id": np.repeat(np.array(ids, np.int64), [len(p) for p in parts])})
 
     return run
 
