@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import cut, stored
+from tidemark.llm.common import cut, discard, stored
 from tidemark.llm.components import components
 from tidemark.llm.textnum import chunks, shingle_sets
 
@@ -196,7 +196,7 @@ class StarJoin:
         pairs = cut(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         few = pairs.count() * 2 <= self.broadcast_rows
-        held = cut(self.bins.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"]))
+        held = stored(self.bins.join(F.broadcast(ids) if few else ids, "id").dropDuplicates(["id"]), "bins")
         both = pairs.join(held.selectExpr("id as a", "bins as x"), "a").join(held.selectExpr("id as b", "bins as y"), "b")
         total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
         most = total(F.zip_with("x", "y", lambda u, v: F.least(u, v)))
@@ -241,7 +241,7 @@ class StarJoin:
         """Round 3: prefix groups that still hold several components."""
         member = active.select("gram", "id").join(own.select("id", "cls"), "id").select("gram", "cls").distinct().join(label, "cls")
         mixed = member.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
-        member = cut(member.join(mixed.select("gram", "m"), "gram"))
+        member = stored(member.join(mixed.select("gram", "m"), "gram"), "mixed-groups")
         few = member.where(F.col("m") <= self.block)
         left = few.select("gram", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
         right = few.select("gram", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
@@ -281,7 +281,8 @@ class TrieJoin:
     def links(self) -> DataFrame:
         prefixes = stored(self.texts.mapInPandas(_prefixes(self.k, self.percent, "id", "text", self.heavy, self.place), "gram long, id long"), "prefixes")
         shared = prefixes.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-        active = cut(prefixes.join(shared, "gram").select("gram", "id", "low"))
+        active = stored(prefixes.join(shared, "gram").select("gram", "id", "low"), "shared-prefixes")
+        discard(prefixes)
         return self.star.links(active, self.classes.select("id", "cls", "n").distinct())
 
     def documents(self) -> DataFrame:
