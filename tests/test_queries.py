@@ -3,6 +3,7 @@
 import pytest
 
 from tests.compare import connect, rows
+from tidemark.plans.base import DAY
 from tidemark.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
@@ -23,3 +24,15 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
+
+
+def test_greedy_spacing_takes_every_user(spark):
+    d = "/root/testdata/sf0.01"
+    events, last, want = connect(d).execute("select distinct user_id, epoch_us(ts) as us from events order by all").fetchall(), {}, set()
+    for user, us in events:
+        if user not in last or us > last[user] + DAY:
+            last[user] = us
+            want.add((user, us))
+    got = [tuple(x) for x in QUERIES["w20_greedy_spacing"](spark, d).select("user_id", "us").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {x for x in got if x[0] < 40} == set(connect(d).execute(SQL["w20_greedy_spacing"]).fetchall())
