@@ -239,6 +239,22 @@ def test_repeated_passages(spark, edges, none):
     assert set(paragraph_dedup.find(edges).toPandas().doc_id) == set()
 
 
+@pytest.mark.parametrize("width", [5, 12, 19])
+def test_repeated_passages_in_short_lines(spark, width):
+    draw = random.Random(width)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(6))
+    wrapped = lambda ws: "\n\n    ".join(" ".join(ws[i : i + width]) for i in range(0, len(ws), width))
+    passage = [word() for _ in range(51)]
+    texts = [(i, wrapped([word() for _ in range(draw.randrange(80))] + (passage if i < 4 else []) + [word() for _ in range(draw.randrange(80))])) for i in range(20)]
+    texts += [(20, texts[10][1] + wrapped([word() for _ in range(51)])), (21, wrapped(passage))]
+    texts += [(22, "\n".join(" ".join([word()] * 3) for _ in range(17))), (23, "x " * 70)]
+    texts.append((24, texts[22][1]))
+    got = paragraph_dedup.find(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
+    long_ = {10, 20} if len(texts[10][1].split()) >= 50 else set(got.doc_id) & {10, 20}
+    assert set(got.doc_id) == {0, 1, 2, 3, 21, 22, 23, 24} | long_
+    assert not got[got.doc_id.isin([0, 10, 22])].removed.any() and set(got[got.removed].doc_id) >= {1, 2, 3, 21, 23, 24}
+
+
 def test_word_numbers():
     number, owner, first, end, data = textnum.words(["Ab c\tab", None, "", "AB é"])
     assert owner.tolist() == [0, 0, 0, 3, 3] and number[0] == number[2] == number[3] and len(set(number.tolist())) == 3

@@ -1,8 +1,9 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Units. Paragraphs are lines of at least min_words words. Lines of more than split_words words also give pieces: they
-are cut at words whose number is the greatest among `reach` words on either side, so a passage set into the middle of
-a line is cut as it is elsewhere. Pieces count if equal, in runs of at least min_run words of one document.
+Units. Paragraphs are lines of at least min_words words. Pieces are winnowed from all words of a document, whatever
+its lines: of each exact_from - min_run + 1 windows of min_run words in a row the one with the least number is a
+piece. Documents that share exact_from words in a row therefore have an equal piece within them, and pieces count if
+equal. Shorter passages, from min_run words, may have one.
 
 Paragraphs. 5-word shingles, MinHash, bands tuned for recall `recall` at the threshold. Paragraphs that collide in a
 band meet (the star and the rounds of trie_join, so no pairs of a group are all emitted), their exact Jaccard
@@ -46,17 +47,48 @@ def _spans(number: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64((sums[b] - sums[a]) * _power(_INVERSE, len(number) + 1)[a] + (b - a).astype(np.uint64))
 
 
-def cut_points(number: np.ndarray, reach: int) -> np.ndarray:
-    """Whether each word's number beats all within reach of it."""
-    h = mix64(number ^ np.uint64(0xD1B54A32D192ED03))
-    best = np.ones(len(h), bool)
-    for d in range(1, reach + 1):
-        best[d:] &= h[d:] > h[:-d]
-        best[:-d] &= h[:-d] > h[d:]
-    return best
-
-
-def units(texts: list, min_words: int, split_words: int, reach: int) -> Iterator[tuple]:
+def _reach(value: np.ndarray, i: np.ndarray, step: int, most: int) -> np.ndarray:
+    """How many places, most - 1 at most, value[i] goes on to be the least: before it (step -1) ties count, after it not."""
+    out, open_ = np.zeros(len(i), np.int64), np.arange(len(i))
+    for d in range(1, most):
+        other, own = value[i[open_] + step * d], value[i[open_]]
+        open_ = open_[other >= own if step < 0 else other > own]
+        if not len(open_):
+            break
+        out[open_] = d
+    return out
+
+
+def winnow(number: np.ndarray, owner: np.ndarray, k: int, window: int) -> np.ndarray:
+    """First words of the k-word windows that are the last least one among `window` in a row of their text (among all
+    of a text with fewer). Any window + k - 1 words that two texts share give both an equal one. Of equal windows that
+    overlap each other the first stays."""
+    m = len(number) - k + 1
+    if m < 1:
+        return np.empty(0, np.int64)
+    at = np.arange(m)
+    value = np.zeros(m + 2 * window, np.uint64)  # 0 parts texts
+    value[window : window + m] = np.where(owner[k - 1 :] == owner[:m], np.maximum(_spans(number, at, at + k), np.uint64(1)), np.uint64(0))
+    i = np.flatnonzero(value)
+    who = owner[i - window]
+    need = np.minimum(window, np.bincount(who, minlength=1))[who] if len(i) else i
+    least = _reach(value, i, -1, window) + _reach(value, i, 1, window) + 1 >= need
+    i, who = i[least], who[least]
+    order = np.lexsort((i, value[i], who))
+    i, who = i[order], who[order]
+    again = np.zeros(len(i), bool)
+    again[1:] = (value[i[1:]] == value[i[:-1]]) & (who[1:] == who[:-1]) & (np.diff(i) < k)
+    keep = np.ones(len(i), bool)
+    last = -1
+    for j in np.flatnonzero(again):
+        if not again[j - 1]:
+            last = i[j - 1]
+        keep[j] = i[j] >= last + k
+        last = i[j] if keep[j] else last
+    return np.sort(i[keep]) - window
+
+
+def units(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tuple]:
     """Chunks of: word numbers; text, first and end word, kind (1 paragraph, 2 piece), start and end character of units."""
     for lo, hi in chunks(texts):
         number, owner, first, end, data = words(texts[lo:hi])
@@ -65,31 +97,24 @@ def units(texts: list, min_words: int, split_words: int, reach: int) -> Iterator
         line = np.searchsorted(np.flatnonzero(data == 10), first)
         opens = np.flatnonzero(np.diff(line, prepend=-1))
         closes = np.append(opens[1:], len(line))
-        size = closes - opens
-        long_ = np.repeat(size > split_words, size)
-        breaks = np.zeros(len(line) + 1, bool)
-        breaks[opens] = breaks[-1] = True
-        breaks[:-1] |= cut_points(number, reach) & long_
-        at = np.flatnonzero(breaks)
-        p0, p1 = at[:-1], at[1:]
-        piece = long_[p0] & (p1 - p0 > reach)
-        whole = size >= min_words
-        a, b = np.concatenate([opens[whole], p0[piece]]), np.concatenate([closes[whole], p1[piece]])
-        kind = np.repeat([1, 2], [whole.sum(), piece.sum()])
+        whole = closes - opens >= min_words
+        piece = winnow(number, owner, min_run, window)
+        a, b = np.concatenate([opens[whole], piece]), np.concatenate([closes[whole], piece + min_run])
+        kind = np.repeat([1, 2], [whole.sum(), len(piece)])
         chars = np.cumsum((data & 0xC0) != 0x80)
         zero = np.concatenate([[0], chars[np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts[lo:hi]]) - 1]])
         who = owner[a] if len(a) else np.empty(0, np.int64)
         yield number, who + lo, a, b, kind, chars[first[a]] - 1 - zero[who], chars[end[b - 1] - 1] - zero[who]
 
 
-def _emit(min_words: int, split_words: int, reach: int, k: int, bands: int, rows: int):
+def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: int):
     draws = np.random.default_rng(7)
     factor = draws.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["id"].to_numpy()
-            for number, who, a, b, kind, start, end in units(batch["text"].tolist(), min_words, split_words, reach):
+            for number, who, a, b, kind, start, end in units(batch["text"].tolist(), min_words, min_run, window):
                 unit = _spans(number, a, b).view(np.int64)
                 yield pd.DataFrame({"kind": kind, "key": 0, "unit": unit, "id": ids[who], "start": start, "end": end, "words": b - a})
                 _, firsts = np.unique(unit[kind == 1], return_index=True)
@@ -114,12 +139,12 @@ def _emit(min_words: int, split_words: int, reach: int, k: int, bands: int, rows
     return run
 
 
-def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999, min_words: int = 20, split_words: int = 24, reach: int = 6, min_run: int = 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999, min_words: int = 20, min_run: int = 20, exact_from: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Units that occur more than once: doc_id, kind, start, end (characters), words, class_id (least id of the
     class), class_docs, removed."""
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     bands, rows = tune_bands(threshold / 100, recall)
-    told = stored(texts.mapInPandas(_emit(min_words, split_words, reach, k, bands, rows), UNITS), "units")
+    told = stored(texts.mapInPandas(_emit(min_words, min_run, exact_from - min_run + 1, k, bands, rows), UNITS), "units")
     members = told.where("kind > 0").drop("key")
     place = F.struct("id", "start")
     collide = told.where("kind = 0").select(F.col("key").alias("gram"), F.col("unit").alias("id"))
@@ -141,13 +166,7 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
     named = twice.unionByName(linked).distinct().join(label, (F.col("unit") == label["v"]) & (F.col("kind") == 1), "left")
     named = cut(named.select("kind", "unit", F.coalesce("comp", "unit").alias("class")))
     few = named.count() <= 400_000
-    hits = members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"])
-    # pieces stand in runs of one document
-    by_doc = W.partitionBy("id", "kind").orderBy("start")
-    fresh = (F.col("start") - F.lag("end").over(by_doc) > 3) | F.lag("end").over(by_doc).isNull()
-    runs = hits.withColumn("run", F.sum(fresh.cast("int")).over(by_doc))
-    runs = runs.withColumn("run_words", F.sum("words").over(W.partitionBy("id", "kind", "run")))
-    hits = cut(runs.where((F.col("kind") == 1) | (F.col("run_words") >= min_run)))
+    hits = cut(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]))
     classes = hits.groupBy("kind", "class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.approx_count_distinct("id").alias("class_docs")).where("first < last")
     out = hits.join(classes, ["kind", "class"])
     kind = F.when(F.col("kind") == 1, "paragraph").otherwise("piece").alias("kind")
