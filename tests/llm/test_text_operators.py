@@ -255,6 +255,21 @@ def test_repeated_passages_in_short_lines(spark, width):
     assert not got[got.doc_id.isin([0, 10, 22])].removed.any() and set(got[got.removed].doc_id) >= {1, 2, 3, 21, 23, 24}
 
 
+def test_every_passage_from_50_words_is_found_whole(spark):
+    draw = random.Random(11)
+    word = lambda: str(int(draw.paretovariate(0.7))) if draw.random() < 0.7 else "".join(draw.choice("abcdefghij") for _ in range(6))
+    texts, place = [], {}
+    for i in range(150):
+        passage = [word() for _ in range(draw.choice([50, 51, 55, 60, 70, 120]))]
+        for j in (2 * i, 2 * i + 1):
+            before, after = ([word() for _ in range(draw.randrange(60))] + [f"x{j}"], [f"y{j}"] + [word() for _ in range(draw.randrange(60))])
+            texts.append((j, " ".join(before + passage + after)))
+            place[j] = (len(" ".join(before)) + 1, len(" ".join(before + passage)), len(passage))
+    got = paragraph_dedup.find(spark.createDataFrame(texts, "doc_id long, text string")).where("kind = 'piece'").toPandas()
+    rows_ = {(x.doc_id, x.start, x.end, x.words, x.removed) for x in got.itertuples()}
+    assert rows_ >= {(j, *place[j], j % 2 == 1) for j in place}
+
+
 def test_word_numbers():
     number, owner, first, end, data = textnum.words(["Ab c\tab", None, "", "AB é"])
     assert owner.tolist() == [0, 0, 0, 3, 3] and number[0] == number[2] == number[3] and len(set(number.tolist())) == 3

@@ -10,7 +10,9 @@ band meet (the star and the rounds of trie_join, so no pairs of a group are all
 similarity is verified, and connected components are classes. Equal units share a 64-bit number of their words
 (chance of a false match 2^-64 a pair) and meet once.
 
-Of each class the first unit by id and position stays; the others are removals.
+Of each class the first unit by id and position stays; the others are removals. A piece that goes and the one that
+stays are extended word by word as far as they agree, and joined with those they overlap, so rows of kind piece are
+whole repeats.
 
 Defined cases: null and empty texts have no units; rows repeated with one id are one document; a passage repeated
 inside one document is a duplicate; an empty table gives an empty result; extra columns stay unread.
@@ -29,7 +31,8 @@ from tidemark.llm.components import components
 from tidemark.llm.textnum import _BASE, _INVERSE, _power, chunks, mix64, words
 from tidemark.llm.trie_join import StarJoin
 
-UNITS = "kind int, key long, unit long, id long, start int, end int, words int"
+UNITS = "kind int, key long, unit long, id long, start int, end int, words int, at int"
+ROUND = "id long, pos int, side int, near array<long>, edge array<int>"
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 2) -> tuple[int, int]:
@@ -89,7 +92,8 @@ def winnow(number: np.ndarray, owner: np.ndarray, k: int, window: int) -> np.nda
 
 
 def units(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tuple]:
-    """Chunks of: word numbers; text, first and end word, kind (1 paragraph, 2 piece), start and end character of units."""
+    """Chunks of: word numbers; text, first and end word, kind (1 paragraph, 2 piece), start and end character, place
+    among the words of the text of units."""
     for lo, hi in chunks(texts):
         number, owner, first, end, data = words(texts[lo:hi])
         if not len(number):
@@ -104,7 +108,7 @@ def units(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tu
         chars = np.cumsum((data & 0xC0) != 0x80)
         zero = np.concatenate([[0], chars[np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts[lo:hi]]) - 1]])
         who = owner[a] if len(a) else np.empty(0, np.int64)
-        yield number, who + lo, a, b, kind, chars[first[a]] - 1 - zero[who], chars[end[b - 1] - 1] - zero[who]
+        yield number, who + lo, a, b, kind, chars[first[a]] - 1 - zero[who], chars[end[b - 1] - 1] - zero[who], a - np.searchsorted(owner, who)
 
 
 def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: int):
@@ -114,9 +118,9 @@ def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = batch["id"].to_numpy()
-            for number, who, a, b, kind, start, end in units(batch["text"].tolist(), min_words, min_run, window):
+            for number, who, a, b, kind, start, end, at in units(batch["text"].tolist(), min_words, min_run, window):
                 unit = _spans(number, a, b).view(np.int64)
-                yield pd.DataFrame({"kind": kind, "key": 0, "unit": unit, "id": ids[who], "start": start, "end": end, "words": b - a})
+                yield pd.DataFrame({"kind": kind, "key": 0, "unit": unit, "id": ids[who], "start": start, "end": end, "words": b - a, "at": at})
                 _, firsts = np.unique(unit[kind == 1], return_index=True)
                 a, b, unit = a[kind == 1][firsts], b[kind == 1][firsts], unit[kind == 1][firsts]
                 if not len(a):
@@ -134,11 +138,80 @@ def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: i
                     key = np.full(len(a), i + 1, np.uint64)
                     for m in least[i * rows : (i + 1) * rows]:
                         key = mix64(key * np.uint64(_BASE) + m)
-                    yield pd.DataFrame({"kind": 0, "key": key.view(np.int64), "unit": unit, "id": 0, "start": 0, "end": 0, "words": 0})
+                    yield pd.DataFrame({"kind": 0, "key": key.view(np.int64), "unit": unit, "id": 0, "start": 0, "end": 0, "words": 0, "at": 0})
 
     return run
 
 
+def _around(min_run: int, window: int):
+    """Rows with id, text and asked (structs of pos, side, unit): for each piece asked for, the numbers of up to
+    `window` words before (side -1) or after it (1), nearest first, and the characters where it would begin or end
+    with none, one, two... of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, text, asked in zip(batch["id"], batch["text"], batch["asked"]):
+                number, _, first, end, data = words([text])
+                chars = np.cumsum((data & 0xC0) != 0x80)
+                begins, ends = chars[first] - 1, chars[end - 1]
+                asked = [x for x in asked if x["pos"] + min_run <= len(number)]
+                at = np.array([x["pos"] for x in asked], np.int64)
+                same = _spans(number, at, at + min_run).view(np.int64)
+                for x, unit in zip(asked, same):
+                    lo, hi = x["pos"], x["pos"] + min_run
+                    if unit != x["unit"]:  # another text of the same id
+                        continue
+                    if x["side"] < 0:
+                        most = max(0, lo - window)
+                        near, edge = number[most:lo][::-1], begins[most : lo + 1][::-1]
+                    else:
+                        near, edge = number[hi : hi + window], ends[hi - 1 : hi + window]
+                    out.append((i, lo, x["side"], near.copy().view(np.int64), edge))
+            yield pd.DataFrame(out, columns=["id", "pos", "side", "near", "edge"])
+
+    return run
+
+
+def _merged(spans: DataFrame, begin: str, end: str) -> DataFrame:
+    """spans with `run`, the number of those that overlap or touch among those with the same id, fid and shift."""
+    by = W.partitionBy("id", "fid", "shift").orderBy(begin)
+    reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("_fresh", F.coalesce(F.col(begin) > reach, F.lit(True)).cast("int"))
+    return spans.withColumn("run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def passages(pieces: DataFrame, texts: DataFrame, min_run: int, window: int) -> DataFrame:
+    """pieces: unit, id, at, fid, fat (the place that stays), class_docs. Each piece that goes and the one that stays
+    are extended word by word while they agree, and what overlaps is joined: id, start, end, words, class_id,
+    class_docs, removed. Between two pieces of a repeat, and from its ends to the next piece, are less than `window`
+    words."""
+    gone = pieces.where("id <> fid or at <> fat").withColumn("shift", F.col("at") - F.col("fat")).withColumn("till", F.col("at") + min_run)
+    runs = _merged(gone, "at", "till").groupBy("id", "fid", "shift", "run")
+    runs = runs.agg(F.min("at").alias("a"), F.min_by("unit", "at").alias("ua"), F.max("at").alias("b"), F.max_by("unit", "at").alias("ub"), F.max("class_docs").alias("class_docs"))
+    runs = cut(runs.drop("run"))
+    ask = None
+    for pos, unit, side in (("a", "ua", -1), ("b", "ub", 1)):
+        for who, shift in (("id", F.lit(0)), ("fid", F.col("shift"))):
+            one = runs.select(F.col(who).alias("id"), F.struct((F.col(pos) - shift).alias("pos"), F.lit(side).alias("side"), F.col(unit).alias("unit")).alias("x"))
+            ask = one if ask is None else ask.unionByName(one)
+    asked = ask.distinct().groupBy("id").agg(F.collect_list("x").alias("asked"))
+    told = cut(texts.join(asked, "id").mapInPandas(_around(min_run, window), ROUND).dropDuplicates(["id", "pos", "side"]))
+    for pos, side in (("a", -1), ("b", 1)):
+        own = told.where(F.col("side") == side)
+        runs = runs.join(own.select("id", F.col("pos").alias(pos), F.col("near").alias("n1"), F.col("edge").alias("e1")), ["id", pos])
+        runs = runs.withColumn("fpos", F.col(pos) - F.col("shift")).join(own.select(F.col("id").alias("fid"), F.col("pos").alias("fpos"), F.col("near").alias("n2"), F.col("edge").alias("e2")), ["fid", "fpos"])
+        agree = F.array_position(F.concat(F.zip_with("n1", "n2", lambda x, y: F.coalesce(x == y, F.lit(False))), F.array(F.lit(False))), F.lit(False)) - 1
+        runs = runs.withColumn("more", agree.cast("int")).withColumn(f"{pos}_own", F.col("e1")[F.col("more")]).withColumn(f"{pos}_first", F.col("e2")[F.col("more")])
+        runs = runs.withColumn(f"w{pos}", F.col("a") - F.col("more") if side < 0 else F.col("b") + min_run + F.col("more")).drop("n1", "n2", "e1", "e2", "more", "fpos")
+    whole = _merged(runs, "wa", "wb").groupBy("id", "fid", "shift", "run")
+    whole = whole.agg(F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("fs"), F.max("b_first").alias("fe"), (F.max("wb") - F.min("wa")).alias("words"), F.max("class_docs").alias("class_docs"))
+    whole = cut(whole)
+    went = whole.groupBy("id", "start", "end", "words").agg(F.min("fid").alias("class_id"), F.max("class_docs").alias("class_docs")).withColumn("removed", F.lit(True))
+    stays = whole.groupBy(F.col("fid").alias("id"), F.col("fs").alias("start"), F.col("fe").alias("end"), "words").agg(F.max("class_docs").alias("class_docs"))
+    return went.unionByName(stays.withColumn("class_id", F.col("id")).withColumn("removed", F.lit(False)))
+
+
 def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999, min_words: int = 20, min_run: int = 20, exact_from: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Units that occur more than once: doc_id, kind, start, end (characters), words, class_id (least id of the
     class), class_docs, removed."""
@@ -167,7 +240,11 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
     named = cut(named.select("kind", "unit", F.coalesce("comp", "unit").alias("class")))
     few = named.count() <= 400_000
     hits = cut(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]))
+    place = F.struct("id", "start", "at")
     classes = hits.groupBy("kind", "class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.approx_count_distinct("id").alias("class_docs")).where("first < last")
-    out = hits.join(classes, ["kind", "class"])
-    kind = F.when(F.col("kind") == 1, "paragraph").otherwise("piece").alias("kind")
-    return out.select(F.col("id").alias("doc_id"), kind, "start", "end", "words", F.col("first.id").alias("class_id"), "class_docs", (place != F.col("first")).alias("removed"))
+    out = cut(hits.join(classes, ["kind", "class"]))
+    whole = out.where("kind = 1").select("id", "start", "end", "words", F.col("first.id").alias("class_id"), "class_docs", (place != F.col("first")).alias("removed"))
+    pieces = out.where("kind = 2").select("unit", "id", "at", F.col("first.id").alias("fid"), F.col("first.at").alias("fat"), "class_docs")
+    parts = passages(pieces, texts, min_run, exact_from - min_run + 1)
+    told = whole.withColumn("kind", F.lit("paragraph")).unionByName(parts.withColumn("kind", F.lit("piece")))
+    return told.select(F.col("id").alias("doc_id"), "kind", "start", "end", "words", "class_id", "class_docs", "removed")
