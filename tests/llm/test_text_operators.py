@@ -270,6 +270,12 @@ def test_every_passage_from_50_words_is_found_whole(spark):
     assert rows_ >= {(j, *place[j], j % 2 == 1) for j in place}
 
 
+def test_class_docs_is_exact(spark):
+    line = " ".join(f"w{i}" for i in range(22))
+    got = paragraph_dedup.find(spark.range(1500).selectExpr("id as doc_id", f"'{line}' as text")).toPandas()
+    assert len(got) == 3000 and set(got.class_docs) == {1500} and got.removed.sum() == 2998
+
+
 def test_word_numbers():
     number, owner, first, end, data = textnum.words(["Ab c\tab", None, "", "AB é"])
     assert owner.tolist() == [0, 0, 0, 3, 3] and number[0] == number[2] == number[3] and len(set(number.tolist())) == 3

@@ -241,7 +241,8 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
     few = named.count() <= 400_000
     hits = cut(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]))
     place = F.struct("id", "start", "at")
-    classes = hits.groupBy("kind", "class").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.approx_count_distinct("id").alias("class_docs")).where("first < last")
+    by_doc = hits.groupBy("kind", "class", "id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    classes = by_doc.groupBy("kind", "class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("class_docs")).where("first < last")
     out = cut(hits.join(classes, ["kind", "class"]))
     whole = out.where("kind = 1").select("id", "start", "end", "words", F.col("first.id").alias("class_id"), "class_docs", (place != F.col("first")).alias("removed"))
     pieces = out.where("kind = 2").select("unit", "id", "at", F.col("first.id").alias("fid"), F.col("first.at").alias("fat"), "class_docs")
