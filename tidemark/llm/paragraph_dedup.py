@@ -20,19 +20,24 @@ inside one document is a duplicate; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import cut, stored
+from tidemark.llm.common import LOWER, UPPER, WORD, cut, discard, stored
 from tidemark.llm.components import components
 from tidemark.llm.textnum import _BASE, _INVERSE, _power, chunks, mix64, words
 from tidemark.llm.trie_join import StarJoin
 
 UNITS = "kind int, key long, unit long, id long, start int, end int, words int, at int"
-ROUND = "id long, pos int, side int, near array<long>, edge array<int>"
+ROUND = "id long, pos int, side int, near string, edge int"
+
+
+_WORD = re.compile(WORD)
+_FOLD = str.maketrans(UPPER, LOWER)
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 2) -> tuple[int, int]:
@@ -144,9 +149,8 @@ def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: i
 
 
 def _around(min_run: int, window: int):
-    """Rows with id, text and asked (structs of pos, side, unit): for each piece asked for, the numbers of up to
-    `window` words before (side -1) or after it (1), nearest first, and the characters where it would begin or end
-    with none, one, two... of them."""
+    """Rows with id, text and asked (structs of pos, side, unit): for each piece asked for, the text of up to `window`
+    words before (side -1) or after it (1), and the character where the piece begins or ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,16 +167,35 @@ def _around(min_run: int, window: int):
                     if unit != x["unit"]:  # another text of the same id
                         continue
                     if x["side"] < 0:
-                        most = max(0, lo - window)
-                        near, edge = number[most:lo][::-1], begins[most : lo + 1][::-1]
+                        edge = begins[lo]
+                        near = text[begins[max(0, lo - window)] : edge]
                     else:
-                        near, edge = number[hi : hi + window], ends[hi - 1 : hi + window]
-                    out.append((i, lo, x["side"], near.copy().view(np.int64), edge))
+                        edge = ends[hi - 1]
+                        near = text[edge : ends[min(hi + window, len(ends)) - 1]]
+                    out.append((i, lo, x["side"], near, edge))
             yield pd.DataFrame(out, columns=["id", "pos", "side", "near", "edge"])
 
     return run
 
 
+def _agree(side: int):
+    """How many words of two texts agree, from their ends (side -1) or beginnings (1), and how many characters they take in each."""
+
+    def agree(one: pd.Series, two: pd.Series) -> pd.DataFrame:
+        out = []
+        for pair in zip(one, two):
+            found = [list(_WORD.finditer(t))[::side] for t in pair]
+            n = 0
+            for x, y in zip(*found):
+                if x.group().translate(_FOLD) != y.group().translate(_FOLD):
+                    break
+                n += 1
+            out.append((n, *((f[n - 1].end() if side > 0 else len(t) - f[n - 1].start()) if n else 0 for f, t in zip(found, pair))))
+        return pd.DataFrame(out, columns=["n", "one", "two"])
+
+    return F.pandas_udf(agree, "n int, one int, two int")
+
+
 def _merged(spans: DataFrame, begin: str, end: str) -> DataFrame:
     """spans with `run`, the number of those that overlap or touch among those with the same id, fid and shift."""
     by = W.partitionBy("id", "fid", "shift").orderBy(begin)
@@ -181,7 +204,7 @@ def _merged(spans: DataFrame, begin: str, end: str) -> DataFrame:
     return spans.withColumn("run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def passages(pieces: DataFrame, texts: DataFrame, min_run: int, window: int) -> DataFrame:
+def passages(pieces: DataFrame, texts: DataFrame, min_run: int, window: int, repeated: bool) -> DataFrame:
     """pieces: unit, id, at, fid, fat (the place that stays), class_docs. Each piece that goes and the one that stays
     are extended word by word while they agree, and what overlaps is joined: id, start, end, words, class_id,
     class_docs, removed. Between two pieces of a repeat, and from its ends to the next piece, are less than `window`
@@ -189,24 +212,25 @@ def passages(pieces: DataFrame, texts: DataFrame, min_run: int, window: int) ->
     gone = pieces.where("id <> fid or at <> fat").withColumn("shift", F.col("at") - F.col("fat")).withColumn("till", F.col("at") + min_run)
     runs = _merged(gone, "at", "till").groupBy("id", "fid", "shift", "run")
     runs = runs.agg(F.min("at").alias("a"), F.min_by("unit", "at").alias("ua"), F.max("at").alias("b"), F.max_by("unit", "at").alias("ub"), F.max("class_docs").alias("class_docs"))
-    runs = cut(runs.drop("run"))
+    runs = stored(runs.drop("run"), "runs")
     ask = None
     for pos, unit, side in (("a", "ua", -1), ("b", "ub", 1)):
         for who, shift in (("id", F.lit(0)), ("fid", F.col("shift"))):
             one = runs.select(F.col(who).alias("id"), F.struct((F.col(pos) - shift).alias("pos"), F.lit(side).alias("side"), F.col(unit).alias("unit")).alias("x"))
             ask = one if ask is None else ask.unionByName(one)
     asked = ask.distinct().groupBy("id").agg(F.collect_list("x").alias("asked"))
-    told = cut(texts.join(asked, "id").mapInPandas(_around(min_run, window), ROUND).dropDuplicates(["id", "pos", "side"]))
+    told = texts.join(asked, "id").mapInPandas(_around(min_run, window), ROUND)
+    told = stored(told.dropDuplicates(["id", "pos", "side"]) if repeated else told, "around")
     for pos, side in (("a", -1), ("b", 1)):
         own = told.where(F.col("side") == side)
         runs = runs.join(own.select("id", F.col("pos").alias(pos), F.col("near").alias("n1"), F.col("edge").alias("e1")), ["id", pos])
         runs = runs.withColumn("fpos", F.col(pos) - F.col("shift")).join(own.select(F.col("id").alias("fid"), F.col("pos").alias("fpos"), F.col("near").alias("n2"), F.col("edge").alias("e2")), ["fid", "fpos"])
-        agree = F.array_position(F.concat(F.zip_with("n1", "n2", lambda x, y: F.coalesce(x == y, F.lit(False))), F.array(F.lit(False))), F.lit(False)) - 1
-        runs = runs.withColumn("more", agree.cast("int")).withColumn(f"{pos}_own", F.col("e1")[F.col("more")]).withColumn(f"{pos}_first", F.col("e2")[F.col("more")])
-        runs = runs.withColumn(f"w{pos}", F.col("a") - F.col("more") if side < 0 else F.col("b") + min_run + F.col("more")).drop("n1", "n2", "e1", "e2", "more", "fpos")
+        runs = runs.withColumn("more", _agree(side)("n1", "n2"))
+        runs = runs.withColumn(f"{pos}_own", F.col("e1") + side * F.col("more.one")).withColumn(f"{pos}_first", F.col("e2") + side * F.col("more.two"))
+        runs = runs.withColumn(f"w{pos}", F.col("a") - F.col("more.n") if side < 0 else F.col("b") + min_run + F.col("more.n")).drop("n1", "n2", "e1", "e2", "more", "fpos")
     whole = _merged(runs, "wa", "wb").groupBy("id", "fid", "shift", "run")
     whole = whole.agg(F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("fs"), F.max("b_first").alias("fe"), (F.max("wb") - F.min("wa")).alias("words"), F.max("class_docs").alias("class_docs"))
-    whole = cut(whole)
+    whole = stored(whole, "repeats")
     went = whole.groupBy("id", "start", "end", "words").agg(F.min("fid").alias("class_id"), F.max("class_docs").alias("class_docs")).withColumn("removed", F.lit(True))
     stays = whole.groupBy(F.col("fid").alias("id"), F.col("fs").alias("start"), F.col("fe").alias("end"), "words").agg(F.max("class_docs").alias("class_docs"))
     return went.unionByName(stays.withColumn("class_id", F.col("id")).withColumn("removed", F.lit(False)))
@@ -228,7 +252,8 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
     spot = members.where("kind = 1").join(want, "unit").groupBy("unit").agg(F.min(F.struct("id", "start", "end")).alias("p")).select("unit", "p.*")
     spot = cut(spot)
     few = spot.count() <= 400_000
-    source = texts.dropDuplicates(["id"]) if texts.count() > texts.select("id").distinct().count() else texts
+    repeated = texts.count() > texts.select("id").distinct().count()
+    source = texts.dropDuplicates(["id"]) if repeated else texts
     found = source.join(F.broadcast(spot) if few else spot, "id")
     unit_text = stored(found.select(F.col("unit").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text")), "paragraphs")
     own = unit_text.select("id", F.col("id").alias("cls"), F.lit(1).alias("n"))
@@ -239,13 +264,15 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
     named = twice.unionByName(linked).distinct().join(label, (F.col("unit") == label["v"]) & (F.col("kind") == 1), "left")
     named = cut(named.select("kind", "unit", F.coalesce("comp", "unit").alias("class")))
     few = named.count() <= 400_000
-    hits = cut(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]))
+    hits = stored(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]), "hits")
+    discard(told)
     place = F.struct("id", "start", "at")
     by_doc = hits.groupBy("kind", "class", "id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     classes = by_doc.groupBy("kind", "class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("class_docs")).where("first < last")
-    out = cut(hits.join(classes, ["kind", "class"]))
+    out = stored(hits.join(classes, ["kind", "class"]), "placed")
+    discard(hits)
     whole = out.where("kind = 1").select("id", "start", "end", "words", F.col("first.id").alias("class_id"), "class_docs", (place != F.col("first")).alias("removed"))
     pieces = out.where("kind = 2").select("unit", "id", "at", F.col("first.id").alias("fid"), F.col("first.at").alias("fat"), "class_docs")
-    parts = passages(pieces, texts, min_run, exact_from - min_run + 1)
+    parts = passages(pieces, texts, min_run, exact_from - min_run + 1, repeated)
     told = whole.withColumn("kind", F.lit("paragraph")).unionByName(parts.withColumn("kind", F.lit("piece")))
     return told.select(F.col("id").alias("doc_id"), "kind", "start", "end", "words", "class_id", "class_docs", "removed")
