@@ -28,32 +28,45 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint; lost executors cost no recomputation before it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back: like cut(), with columns that can be pruned."""
+    """df written once as a Parquet table in the shared folder and read back. Lineage ends there: lost executors cost
+    no recomputation before it, and unlike checkpoint() the plan runs once, not twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """stored() without a name."""
+    return stored(df, "cut")
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote for df. Only for a table that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote. Only for tables that nothing reads any more."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def lower_ascii(c: Column) -> Column:
-    """A-Z lower-cased, all else as it is."""
-    return F.translate(c, UPPER, LOWER)
+def hot_keys(counts: DataFrame, n: str, n_rows: int, least: int = 1000, most: int = 10_000) -> DataFrame:
+    """Rows of counts with at least max(least, n_rows / most) in column n: never more than `most` of them, so their
+    table can be sent to every task."""
+    return counts.where(F.col(n) >= max(least, -(-n_rows // most)))
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, values: list[str], hot: DataFrame, spread: Column) -> DataFrame:
+    """rows left join keyed (one row a key, not null) on `key`, adding `values`. Keys of `hot` (see hot_keys) are
+    looked up in a broadcast table; their rows, and those whose key is null, are dealt by `spread`, so no key holds one
+    task up."""
+    held = keyed.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("_hk"), F.struct(F.lit(True).alias("is"), *values).alias("_hv"))
+    cold = keyed.select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"))
+    d = rows.join(F.broadcast(held), F.col(key) == F.col("_hk"), "left")
+    d = d.withColumn("_jk", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), spread).otherwise(F.col(key)))
+    d = d.join(cold, F.col("_jk") == F.col("_ck"), "left")
+    return d.withColumns({v: F.when(F.col("_hv.is"), F.col(f"_hv.{v}")).when(F.col("_ck") == F.col(key), F.col(f"_cv.{v}")) for v in values}).drop("_hk", "_hv", "_ck", "_cv", "_jk")
 
 
 def hex_digits(n_rows: int, rows_per_bucket: int = 2048) -> int:
