@@ -124,8 +124,8 @@ def test_decontamination_blocks_and_offsets(spark, edges, none):
     items = spark.createDataFrame([(1, "Alpha beta, gamma! delta epsilon zeta eta theta iota kappa LAMBDA"), (2, "short one"), (3, None), (4, "...")], "item_id long, text string")
     text = "é-x Beta gamma delta " + "alpha BETA gamma delta; epsilon zeta eta theta iota kappa lambda. Short\none"
     docs = spark.createDataFrame([(9, text)], "doc_id long, text string")
-    for size in (8 << 20, 10):
-        x = decontam.judged(decontam.find(docs, items, block_bytes=size)).first()
+    for size in (50_000, 4):
+        x = decontam.judged(decontam.find(docs, items, block_words=size)).first()
         assert (x["n_hit"], x["item_ids"], x["contaminated"]) == (13, ["1", "2"], True)
         assert {text[h["start"] : h["end"]] for h in x["hits"] if h["item_id"] == "2"} == {"Short\none"}
     got = decontam.judged(decontam.find(edges, items))

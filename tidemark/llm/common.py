@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: Words are runs of anything but ASCII white space; this is the contract's pattern.
@@ -51,6 +54,19 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], object]) -> bytes:
+    """fit(rows) pickled, computed in one executor task: only for rows of a stated bound. Neither the rows nor the
+    fitting weigh on the driver, and a lost executor costs one task."""
+    names = rows.columns
+
+    def run(batches):
+        parts = list(batches)
+        yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)))]})
+
+    got = rows.repartition(1).mapInPandas(run, "model binary").collect()  # one row
+    return bytes(got[0][0]) if got else pickle.dumps(fit(pd.DataFrame(columns=names)))
+
+
 def hot_keys(counts: DataFrame, n: str, n_rows: int, least: int = 1000, most: int = 10_000) -> DataFrame:
     """Rows of counts with at least max(least, n_rows / most) in column n: never more than `most` of them, so their
     table can be sent to every task."""
@@ -77,15 +93,27 @@ def hex_digits(n_rows: int, rows_per_bucket: int = 2048) -> int:
     return digits
 
 
+def order_key(*parts: Column) -> Column:
+    """40 hex digits that order rows: 28 from the first part, 12 from the others, which tell rows of equal first part
+    apart."""
+    rest = F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts[1:]]))
+    return F.concat(F.substring(parts[0], 1, 28), F.substring(rest, 1, 12))
+
+
 def running_total(df: DataFrame, by: list[str], key: str, size: str, out: str, n_rows: int) -> DataFrame:
-    """Adds `out`: the sum of `size` over the rows of the same `by` whose `key` (a uniform lower-case hex string) is less.
+    """Adds `out`: the sum of `size` over the rows of the same `by` whose `key` (see order_key) is less.
 
     The plain form is a window by `by` alone, which puts a hot group into one task. Here the leading digits of the
     key split each group into buckets; sums by bucket (one small row each) give every bucket its start, and windows
-    run inside a bucket only. Rows with equal key are ordered by whatever the engine meets first.
+    run inside a bucket only. A bucket that repeated keys fill is split again by the last digits; at most 5000 buckets
+    can be that full, so their list goes to every task. Rows with equal keys are ordered by whatever the engine meets
+    first.
     """
     digits = hex_digits(n_rows)
     df = df.withColumn("_b", F.substring(key, 1, digits))
+    full = df.groupBy("_b").agg(F.count("*").alias("_n")).where(F.col("_n") > max(16 * 2048, -(-n_rows // 5000))).select(F.col("_b").alias("_fb"))
+    df = df.join(F.broadcast(full), F.col("_b") == F.col("_fb"), "left")
+    df = df.withColumn("_b", F.when(F.col("_fb").isNull(), F.col("_b")).otherwise(F.concat(F.substring(key, 1, 28), F.substring(key, 29, digits)))).drop("_fb")
     sums = df.groupBy(*by, "_b").agg(F.sum(size).alias("_n"))
     start = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("_b").alias("_kb"), start.alias("_start"))

@@ -10,7 +10,7 @@ transfer matrix is multiplied up for all blocks at once, messages pass from bloc
 computed in all blocks at once. A text's language is the one with most marginal mass over words with letters.
 
 The training sample is bounded: about train_docs documents a label, chosen by a hash of the id, span_words words at
-seeded places of each for each use.
+seeded places of each for each use. The model is fitted in one executor task; the driver holds the weights only.
 
 Defined cases: a text without a letter (null, empty) is `und` with score 0; without labelled training rows
 everything is `und`; ties go to the label that sorts first; repeated rows are judged alike; an empty table gives an
@@ -19,6 +19,7 @@ empty result. Extra columns stay; lang_pred and score are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.llm.common import fitted
 from tidemark.llm.textnum import NOT_LETTERS, bucket, chunks, gram_positions, words
 
 BITS = 16
@@ -231,28 +233,33 @@ def predict(model: Model | None, texts: list) -> tuple[list[str], list[float]]:
     return lang, score
 
 
-def sample(rows: DataFrame, label: str, per_label: int, key: str) -> DataFrame:
+def sample(rows: DataFrame, label: str, per_label: int, key: str, broadcast_labels: int = 100_000) -> DataFrame:
     """About per_label rows of each label, by a hash of the key; the same rows on every run."""
-    counts = {x[label]: x["count"] for x in rows.groupBy(label).count().collect()}  # one row a label
-    limit = F.lit(0.0)
-    for value, n in counts.items():
-        limit = F.when(F.col(label) == value, min(1.0, per_label / n)).otherwise(limit)
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30) < limit)
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col(label).alias("_l"), (F.lit(float(per_label)) / F.col("_n")).alias("_rate"))
+    rates = F.broadcast(counts) if counts.count() <= broadcast_labels else counts
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.join(rates, F.col(label) == F.col("_l")).where(draw < F.col("_rate")).drop("_l", "_rate")
 
 
 def identify(docs: DataFrame, trains: Column, train_docs: int = 400, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with lang_pred and score; labels are taken only from rows where `trains` holds."""
     docs = docs.drop("lang_pred", "score")
     known = docs.where(trains & F.col(lang).isNotNull())
-    rows = sample(known, lang, train_docs, doc_id).select(doc_id, text, lang).toPandas()  # train_docs a label
-    rows = rows.sort_values([doc_id, text]).drop_duplicates(text)
-    model = train([t or "" for t in rows[text]], rows[lang].tolist())
+    rows = sample(known.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")), "l", train_docs, "i")  # train_docs a label
+
+    def fit(rows: pd.DataFrame) -> Model | None:
+        rows = rows.sort_values(["i", "t", "l"]).drop_duplicates("t")
+        return train([t or "" for t in rows["t"]], rows["l"].tolist())
+
+    model = fitted(rows, fit)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2**BITS floats a label
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = pickle.loads(held.value)
         for batch in batches:
-            batch["lang_pred"], batch["score"] = predict(held.value, batch[text].tolist())
+            batch["lang_pred"], batch["score"] = predict(model, batch[text].tolist())
             yield batch[schema.names]
 
     return docs.mapInPandas(run, schema)

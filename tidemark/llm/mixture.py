@@ -4,23 +4,29 @@
 2. The total to take is shared by weight; a source whose share is above max_repeats times its size stops there and
    its excess is reshared by weight until none is above.
 3. The total is a number of blocks of block_tokens words. Quotients target/(2k-1) rank the blocks of all sources;
-   the highest win. The k-th block of a source has rank order fixed by its quotient, so cutting the ranking into
-   n_shards equal runs gives every output shard integer quotas that follow the targets as well.
-4. A source's documents stand in seeded order (md5 of seed and id) and their words are numbered; pass p repeats the
-   sequence. Winning blocks are the first ones of that sequence, so a document gives the words that lie in them.
+   the highest win. The ranking is cut into n_shards equal runs: each output shard has an integer quota of blocks of
+   every source (shard_quotas), and a source's blocks go to the shards in their order.
+4. A source's documents stand in seeded order (md5 of seed and id, then a hash of the text) and their words are
+   numbered; pass p repeats the sequence. Winning blocks are the first ones of that sequence, so a document gives the
+   words that lie in them. `shard` is the output shard of the block that holds a document's first taken word.
    Positions are prefix sums over hash buckets: no task holds a whole source.
 
+The driver holds one row a source.
+
 Defined cases: null text has size 0 and takes 0; a null source is a source, sorted last; a source of size 0 has
-target 0; rows repeated with one id are separate rows; an empty table gives an empty result. Extra columns stay.
+target 0; rows repeated with one id are separate rows, in the order of their texts, and rows alike in both are
+interchangeable; a null id is a key like any other; an empty table gives an empty result. Extra columns stay, those
+named as a result are replaced.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import WORD, running_total
+from tidemark.llm.common import WORD, order_key, running_total
 
 
 def word_count(text: str = "text"):
@@ -83,24 +89,31 @@ def by_source(docs: DataFrame, source: str = "source") -> dict:
     return {x[source]: x["n"] for x in sorted(rows, key=lambda x: (x[source] is None, x[source] or ""))}
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), max_repeats: int = 2, block_tokens: int = 32, seed: str = "mix", broadcast_sources: int = 100_000, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs with size, source_size, target, taken, and first_word: how many words of its source stand before it."""
+def mix(docs: DataFrame, weights=(3, 1, 2), share: Fraction = Fraction(3, 2), max_repeats: int = 2, block_tokens: int = 32, n_shards: int = 24, seed: str = "mix", broadcast_sources: int = 100_000, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """docs with size, source_size, target, taken, shard (null if nothing is taken), and first_word: how many words of
+    its source stand before it."""
     spark = docs.sparkSession
-    sized = docs.withColumn("size", word_count(text))
+    sized = docs.drop("size", "source_size", "target", "taken", "shard", "first_word").withColumn("size", word_count(text))
     sizes = by_source(sized, source)
-    goal = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sizes)}, share * sum(sizes.values()), max_repeats)
-    blocks = seats(goal, int(share * sum(sizes.values()) / block_tokens + Fraction(1, 2)))
+    total = share * sum(sizes.values())
+    goal = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(sizes)}, total, max_repeats)
+    quotas = shard_quotas(goal, int(total / block_tokens + Fraction(1, 2)), n_shards)
+    ends = {s: list(accumulate(q[s] for q in quotas)) for s in sizes}  # blocks of the source up to each shard's end
     plan = spark.createDataFrame(
-        [(s, n, float(goal[s]), blocks[s] * block_tokens) for s, n in sizes.items()],
-        "_m_source string, source_size long, target double, _m_cut long",
+        [(s, n, float(goal[s]), ends[s][-1] * block_tokens, ends[s]) for s, n in sizes.items()],
+        "_m_source string, source_size long, target double, _m_cut long, _m_ends array<long>",
     )
     n_rows = sized.count()
-    keyed = sized.withColumn("_m_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    keyed = sized.withColumn("_m_key", order_key(drawn, F.xxhash64(text), F.col("size")))
     placed = running_total(keyed, [source], "_m_key", "size", "first_word", n_rows)
     plan = F.broadcast(plan) if len(sizes) <= broadcast_sources else plan
     mixed = placed.join(plan, F.col(source).eqNullSafe(F.col("_m_source")))
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), F.col("_m_cut") - F.col("first_word") - p * F.col("source_size"))) for p in range(max_repeats)), F.lit(0))
-    return mixed.withColumn("taken", taken.cast("long")).drop("_m_key", "_m_source", "_m_cut")
+    block = F.floor(F.col("first_word") / block_tokens)
+    mixed = mixed.withColumn("taken", taken.cast("long"))
+    shard = F.when(F.col("taken") > 0, F.size(F.filter("_m_ends", lambda e: e <= block)))
+    return mixed.withColumn("shard", shard.cast("int")).drop("_m_key", "_m_source", "_m_cut", "_m_ends")
 
 
 def emit(mixed: DataFrame, text: str = "text") -> DataFrame:

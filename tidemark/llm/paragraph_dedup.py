@@ -1,21 +1,26 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Units. Paragraphs are lines of at least min_words words. Pieces are winnowed from all words of a document, whatever
-its lines: of each exact_from - min_run + 1 windows of min_run words in a row the one with the least number is a
-piece. Documents that share exact_from words in a row therefore have an equal piece within them, and pieces count if
-equal. Shorter passages, from min_run words, may have one.
-
-Paragraphs. 5-word shingles, MinHash, bands tuned for recall `recall` at the threshold. Paragraphs that collide in a
-band meet (the star and the rounds of trie_join, so no pairs of a group are all emitted), their exact Jaccard
-similarity is verified, and connected components are classes. Equal units share a 64-bit number of their words
-(chance of a false match 2^-64 a pair) and meet once.
-
-Of each class the first unit by id and position stays; the others are removals. A piece that goes and the one that
-stays are extended word by word as far as they agree, and joined with those they overlap, so rows of kind piece are
-whole repeats.
-
-Defined cases: null and empty texts have no units; rows repeated with one id are one document; a passage repeated
-inside one document is a duplicate; an empty table gives an empty result; extra columns stay unread.
+Paragraphs. Lines of at least min_words words: 5-word shingles, MinHash, bands tuned for recall `recall` at the
+threshold. Distinct paragraphs that collide in a band meet (the star and the rounds of trie_join, so no pairs of a group
+are all emitted), their exact Jaccard similarity is verified, and connected components are classes. Equal paragraphs
+share a 64-bit number of their words (chance of a false match 2^-64 a pair) and meet once.
+
+Runs. Every `exact_from` words in a row, whatever the lines, are a paragraph too. The shingles of such a run are its
+exact_from - min_run + 1 windows of min_run words, and its MinHash by one row is the window with the least number:
+winnowing, so that all runs of a document give one piece for about 16 words. Equal runs have equal pieces, so recall is 1.
+Pieces that collide meet their class's first piece and are verified word by word: both are extended as far as they
+agree. Extended pieces that overlap are one row, and rows of fewer than report_from words go. Where a piece's class has
+more than two places and its meeting with the first one gave fewer words, all runs of report_from words around it are
+numbered and meet their equals, so no passage is lost because a shorter one is common.
+
+Copies. Equal texts are one text in all this; their documents get a row of kind piece from the first to the last word.
+
+Of each class the first unit by id and position stays; the others are removals. Rows of kind piece are whole repeats:
+passages that documents share with the class's first one.
+
+Defined cases: null and empty texts have no units; rows repeated with one id and text are one document, one id with
+several texts is several; a null id sorts last; a passage repeated inside one document is a duplicate; an empty table
+gives an empty result; extra columns stay unread.
 """
 
 from __future__ import annotations
@@ -25,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import LOWER, UPPER, WORD, cut, discard, stored
+from tidemark.llm.common import LOWER, UPPER, WORD, discard, hot_keys, spread_join, stored
 from tidemark.llm.components import components
 from tidemark.llm.textnum import _BASE, _INVERSE, _power, chunks, mix64, words
-from tidemark.llm.trie_join import StarJoin
-
-UNITS = "kind int, key long, unit long, id long, start int, end int, words int, at int"
-ROUND = "id long, pos int, side int, near string, edge int"
+from tidemark.llm.trie_join import SEEN, StarJoin, text_number
 
+PARAGRAPH, PIECE, WHOLE = 1, 2, 3
+UNITS = "kind int, unit long, id long, node long, at int, start int, end int, words int, link long, next int, keys array<long>"
+AROUND = "node long, pos int, side int, near string, edge int"
+FRAMES = "frame long, node long, at int, start int, end int"
 
 _WORD = re.compile(WORD)
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -96,9 +103,9 @@ def winnow(number: np.ndarray, owner: np.ndarray, k: int, window: int) -> np.nda
     return np.sort(i[keep]) - window
 
 
-def units(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tuple]:
-    """Chunks of: word numbers; text, first and end word, kind (1 paragraph, 2 piece), start and end character, place
-    among the words of the text of units."""
+def described(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tuple]:
+    """Chunks of: first text, numbers and owners of words, begin and end character of each word in its text, first and
+    end word of the lines of min_words, first words of the pieces."""
     for lo, hi in chunks(texts):
         number, owner, first, end, data = words(texts[lo:hi])
         if not len(number):
@@ -107,73 +114,121 @@ def units(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tu
         opens = np.flatnonzero(np.diff(line, prepend=-1))
         closes = np.append(opens[1:], len(line))
         whole = closes - opens >= min_words
-        piece = winnow(number, owner, min_run, window)
-        a, b = np.concatenate([opens[whole], piece]), np.concatenate([closes[whole], piece + min_run])
-        kind = np.repeat([1, 2], [whole.sum(), len(piece)])
         chars = np.cumsum((data & 0xC0) != 0x80)
         zero = np.concatenate([[0], chars[np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts[lo:hi]]) - 1]])
-        who = owner[a] if len(a) else np.empty(0, np.int64)
-        yield number, who + lo, a, b, kind, chars[first[a]] - 1 - zero[who], chars[end[b - 1] - 1] - zero[who], a - np.searchsorted(owner, who)
+        yield lo, number, owner, chars[first] - 1 - zero[owner], chars[end - 1] - zero[owner], opens[whole], closes[whole], winnow(number, owner, min_run, window)
+
+
+def _band_keys(number: np.ndarray, a: np.ndarray, b: np.ndarray, factor: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
+    """Band keys (units, bands) of the runs [a, b) of words."""
+    rolled = number.copy()
+    for j in range(1, k):
+        rolled[: max(0, len(rolled) - j)] = rolled[: max(0, len(rolled) - j)] * np.uint64(_BASE) + number[j:]
+    rolled = mix64(rolled)
+    n = np.maximum(1, b - a - k + 1)
+    ends = np.cumsum(n)
+    shingles = rolled[np.arange(ends[-1]) - np.repeat(ends - n - a, n)]
+    least = [np.minimum.reduceat(mix64(shingles * f), ends - n) for f in factor]
+    out = np.empty((len(a), bands), np.uint64)
+    for i in range(bands):
+        key = np.full(len(a), i + 1, np.uint64)
+        for m in least[i * rows : (i + 1) * rows]:
+            key = mix64(key * np.uint64(_BASE) + m)
+        out[:, i] = key
+    return out.view(np.int64)
 
 
 def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: int):
+    """From id, node, text: paragraphs of every row (band keys with the first of each in a chunk); pieces and the extent
+    of the words of every text that a task meets first."""
     draws = np.random.default_rng(7)
     factor = draws.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
+    names = [f.split()[0] for f in UNITS.split(", ")]
+    types = dict(zip(names, [pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 4, pa.int64(), pa.int32(), pa.list_(pa.int64())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(m: int, **columns) -> pa.RecordBatch:
+        made = [pa.nulls(m, types[n]) if n not in columns else columns[n] if isinstance(columns[n], pa.Array) else pa.array(np.asarray(columns[n]), types[n]) for n in names]
+        return pa.RecordBatch.from_arrays(made, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            for number, who, a, b, kind, start, end, at in units(batch["text"].tolist(), min_words, min_run, window):
-                unit = _spans(number, a, b).view(np.int64)
-                yield pd.DataFrame({"kind": kind, "key": 0, "unit": unit, "id": ids[who], "start": start, "end": end, "words": b - a, "at": at})
-                _, firsts = np.unique(unit[kind == 1], return_index=True)
-                a, b, unit = a[kind == 1][firsts], b[kind == 1][firsts], unit[kind == 1][firsts]
-                if not len(a):
-                    continue
-                rolled = number.copy()
-                for j in range(1, k):
-                    rolled[: max(0, len(rolled) - j)] = rolled[: max(0, len(rolled) - j)] * np.uint64(_BASE) + number[j:]
-                rolled = mix64(rolled)
-                n = np.maximum(1, b - a - k + 1)
-                ends = np.cumsum(n)
-                where = np.arange(ends[-1]) - np.repeat(ends - n - a, n)
-                shingles = rolled[where]
-                least = [np.minimum.reduceat(mix64(shingles * f), ends - n) for f in factor]
-                for i in range(bands):
-                    key = np.full(len(a), i + 1, np.uint64)
-                    for m in least[i * rows : (i + 1) * rows]:
-                        key = mix64(key * np.uint64(_BASE) + m)
-                    yield pd.DataFrame({"kind": 0, "key": key.view(np.int64), "unit": unit, "id": 0, "start": 0, "end": 0, "words": 0, "at": 0})
+            ids, nodes, texts = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            for lo, number, owner, begins, ends, opens, closes, piece in described(texts, min_words, min_run, window):
+                if m := len(opens):
+                    unit = _spans(number, opens, closes).view(np.int64)
+                    who = owner[opens] + lo
+                    _, fresh = np.unique(unit, return_index=True)
+                    keys = _band_keys(number, opens[fresh], closes[fresh], factor, k, bands, rows)
+                    at = np.full(m, 0)
+                    at[fresh] = bands
+                    spread = np.argsort(fresh, kind="stable")
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), pa.array(keys[spread].reshape(-1)))
+                    yield table(m, kind=np.full(m, PARAGRAPH), unit=unit, id=ids.take(pa.array(who)), node=nodes[who], start=begins[opens], end=ends[closes - 1], words=closes - opens, keys=lists)
+                bounds = np.flatnonzero(np.diff(owner, prepend=-1))
+                last = np.append(bounds[1:], len(owner)) - 1
+                own = nodes[owner[bounds] + lo]
+                new = np.zeros(len(own), bool)
+                for i, x in enumerate(own.tolist()):
+                    if x not in seen:
+                        new[i] = True
+                        seen.add(x)
+                if len(seen) > SEEN:
+                    seen.clear()
+                bounds, last, own = bounds[new], last[new], own[new]
+                if m := len(own):
+                    yield table(m, kind=np.full(m, WHOLE), node=own, start=begins[bounds], end=ends[last], words=last - bounds + 1)
+                kept = np.zeros(len(texts) + 1, bool)
+                kept[owner[bounds]] = True
+                piece = piece[kept[owner[piece]]]
+                if m := len(piece):
+                    who = owner[piece]
+                    first_word = np.searchsorted(owner, who)
+                    same = np.append(who[1:] == who[:-1], False)
+                    step = np.append(np.diff(piece), 0) * same
+                    link = np.where(same, _spans(number, piece, piece + step + min_run).view(np.int64), 0)
+                    yield table(m, kind=np.full(m, PIECE), unit=_spans(number, piece, piece + min_run).view(np.int64), node=nodes[who + lo], at=piece - first_word, link=link, next=step)
 
     return run
 
 
 def _around(min_run: int, window: int):
-    """Rows with id, text and asked (structs of pos, side, unit): for each piece asked for, the text of up to `window`
-    words before (side -1) or after it (1), and the character where the piece begins or ends."""
+    """Rows with node, text and asked (structs of pos, side): for each piece asked for, the text of up to `window` words
+    before (side -1) or after it (1), and the character where the piece begins or ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, text, asked in zip(batch["id"], batch["text"], batch["asked"]):
-                number, _, first, end, data = words([text])
+            for node, text, asked in zip(batch["node"], batch["text"], batch["asked"]):
+                _, _, first, end, data = words([text])
                 chars = np.cumsum((data & 0xC0) != 0x80)
                 begins, ends = chars[first] - 1, chars[end - 1]
-                asked = [x for x in asked if x["pos"] + min_run <= len(number)]
-                at = np.array([x["pos"] for x in asked], np.int64)
-                same = _spans(number, at, at + min_run).view(np.int64)
-                for x, unit in zip(asked, same):
+                for x in asked:
                     lo, hi = x["pos"], x["pos"] + min_run
-                    if unit != x["unit"]:  # another text of the same id
-                        continue
                     if x["side"] < 0:
                         edge = begins[lo]
                         near = text[begins[max(0, lo - window)] : edge]
                     else:
                         edge = ends[hi - 1]
                         near = text[edge : ends[min(hi + window, len(ends)) - 1]]
-                    out.append((i, lo, x["side"], near, edge))
-            yield pd.DataFrame(out, columns=["id", "pos", "side", "near", "edge"])
+                    out.append((node, lo, x["side"], near, edge))
+            yield pd.DataFrame(out, columns=["node", "pos", "side", "near", "edge"])
+
+    return run
+
+
+def _frames(min_run: int, size: int):
+    """Rows with node, text and asked (positions of pieces): number, first word and characters of every run of `size`
+    words that holds a piece asked for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, text, asked in zip(batch["node"], batch["text"], batch["asked"]):
+                number, _, first, end, data = words([text])
+                at = np.unique(np.concatenate([np.arange(max(0, p + min_run - size), min(p, len(number) - size) + 1) for p in asked]))
+                if len(at):
+                    chars = np.cumsum((data & 0xC0) != 0x80)
+                    yield pd.DataFrame({"frame": _spans(number, at, at + size).view(np.int64), "node": node, "at": at, "start": chars[first[at]] - 1, "end": chars[end[at + size - 1] - 1]})
 
     return run
 
@@ -197,82 +252,154 @@ def _agree(side: int):
 
 
 def _merged(spans: DataFrame, begin: str, end: str) -> DataFrame:
-    """spans with `run`, the number of those that overlap or touch among those with the same id, fid and shift."""
-    by = W.partitionBy("id", "fid", "shift").orderBy(begin)
+    """spans with `run`, the number of those that overlap or touch among those with the same node, first and shift."""
+    by = W.partitionBy("node", "first", "shift").orderBy(begin)
     reach = F.max(end).over(by.rowsBetween(W.unboundedPreceding, -1))
     spans = spans.withColumn("_fresh", F.coalesce(F.col(begin) > reach, F.lit(True)).cast("int"))
     return spans.withColumn("run", F.sum("_fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def passages(pieces: DataFrame, texts: DataFrame, min_run: int, window: int, repeated: bool) -> DataFrame:
-    """pieces: unit, id, at, fid, fat (the place that stays), class_docs. Each piece that goes and the one that stays
-    are extended word by word while they agree, and what overlaps is joined: id, start, end, words, class_id,
-    class_docs, removed. Between two pieces of a repeat, and from its ends to the next piece, are less than `window`
-    words."""
-    gone = pieces.where("id <> fid or at <> fat").withColumn("shift", F.col("at") - F.col("fat")).withColumn("till", F.col("at") + min_run)
-    runs = _merged(gone, "at", "till").groupBy("id", "fid", "shift", "run")
-    runs = runs.agg(F.min("at").alias("a"), F.min_by("unit", "at").alias("ua"), F.max("at").alias("b"), F.max_by("unit", "at").alias("ub"), F.max("class_docs").alias("class_docs"))
-    runs = stored(runs.drop("run"), "runs")
-    ask = None
-    for pos, unit, side in (("a", "ua", -1), ("b", "ub", 1)):
-        for who, shift in (("id", F.lit(0)), ("fid", F.col("shift"))):
-            one = runs.select(F.col(who).alias("id"), F.struct((F.col(pos) - shift).alias("pos"), F.lit(side).alias("side"), F.col(unit).alias("unit")).alias("x"))
-            ask = one if ask is None else ask.unionByName(one)
-    asked = ask.distinct().groupBy("id").agg(F.collect_list("x").alias("asked"))
-    told = texts.join(asked, "id").mapInPandas(_around(min_run, window), ROUND)
-    told = stored(told.dropDuplicates(["id", "pos", "side"]) if repeated else told, "around")
-    for pos, side in (("a", -1), ("b", 1)):
-        own = told.where(F.col("side") == side)
-        runs = runs.join(own.select("id", F.col("pos").alias(pos), F.col("near").alias("n1"), F.col("edge").alias("e1")), ["id", pos])
-        runs = runs.withColumn("fpos", F.col(pos) - F.col("shift")).join(own.select(F.col("id").alias("fid"), F.col("pos").alias("fpos"), F.col("near").alias("n2"), F.col("edge").alias("e2")), ["fid", "fpos"])
-        runs = runs.withColumn("more", _agree(side)("n1", "n2"))
-        runs = runs.withColumn(f"{pos}_own", F.col("e1") + side * F.col("more.one")).withColumn(f"{pos}_first", F.col("e2") + side * F.col("more.two"))
-        runs = runs.withColumn(f"w{pos}", F.col("a") - F.col("more.n") if side < 0 else F.col("b") + min_run + F.col("more.n")).drop("n1", "n2", "e1", "e2", "more", "fpos")
-    whole = _merged(runs, "wa", "wb").groupBy("id", "fid", "shift", "run")
-    whole = whole.agg(F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("fs"), F.max("b_first").alias("fe"), (F.max("wb") - F.min("wa")).alias("words"), F.max("class_docs").alias("class_docs"))
-    whole = stored(whole, "repeats")
-    went = whole.groupBy("id", "start", "end", "words").agg(F.min("fid").alias("class_id"), F.max("class_docs").alias("class_docs")).withColumn("removed", F.lit(True))
-    stays = whole.groupBy(F.col("fid").alias("id"), F.col("fs").alias("start"), F.col("fe").alias("end"), "words").agg(F.max("class_docs").alias("class_docs"))
-    return went.unionByName(stays.withColumn("class_id", F.col("id")).withColumn("removed", F.lit(False)))
-
-
-def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999, min_words: int = 20, min_run: int = 20, exact_from: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+class Passages:
+    """Repeats of runs of words between distinct texts."""
+
+    def __init__(self, pieces: DataFrame, texts: DataFrame, copies: DataFrame, min_run: int, window: int, report_from: int, repeated: bool, broadcast_rows: int):
+        """pieces: unit, node, at, link, next; texts: id, node, text; copies: node, least (its least id), m (documents)."""
+        self.texts, self.copies, self.min_run, self.window, self.report_from = texts, copies, min_run, window, report_from
+        self.repeated, self.broadcast_rows = repeated, broadcast_rows
+        ends = pieces.groupBy("unit").agg(F.min(F.struct("node", "at")).alias("x"), F.max(F.struct("node", "at")).alias("y")).where("x < y").select("unit")
+        shared = pieces.join(ends, "unit", "left_semi")
+        named = shared.join(copies.where("named"), "node").select("unit", "node", "least", "m", "at", "link", "next").distinct()
+        self.members = stored(named, "shared-pieces")
+
+    def _text_of(self, asked: DataFrame, n: int) -> DataFrame:
+        """node, text, asked of the texts that `asked` (node, least, asked) names. n: what it holds in all."""
+        few = n <= self.broadcast_rows
+        asked = asked.withColumnsRenamed({"node": "_an", "least": "_al"})
+        held = F.broadcast(asked) if few else asked
+        found = self.texts.join(held, (F.col("node") == F.col("_an")) & F.col("id").eqNullSafe(F.col("_al"))).select("node", "text", "asked")
+        return found.dropDuplicates(["node"]) if self.repeated else found
+
+    def stars(self) -> DataFrame:
+        """Runs of pieces that agree with their class's first one without a gap: node, least, first (node), first_id,
+        shift, a and b (first words of the first and last piece), places, class_docs."""
+        place = F.struct(F.col("least").isNull(), "least", "at", "node", "link")
+        by_text = self.members.groupBy("unit", "node").agg(F.min(place).alias("p"), F.first("m").alias("m"), F.count("*").alias("c"))
+        classes = by_text.groupBy("unit").agg(F.min("p").alias("p"), F.sum("m").alias("class_docs"), F.sum("c").alias("places"))
+        first = classes.select("unit", F.col("p.least").alias("first_id"), F.col("p.node").alias("first"), F.col("p.at").alias("first_at"), F.col("p.link").alias("first_link"), "class_docs", "places")
+        met = self.members.join(first, "unit").where("node <> first or at <> first_at").withColumn("shift", F.col("at") - F.col("first_at"))
+        by = W.partitionBy("node", "first", "shift").orderBy("at")
+        goes_on = (F.lag("next").over(by) > 0) & (F.lag(F.col("at") + F.col("next")).over(by) == F.col("at")) & (F.lag(F.col("link") == F.col("first_link")).over(by))
+        met = met.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+        runs = met.groupBy("node", "least", "first", "first_id", "shift", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("places").alias("places"), F.max("class_docs").alias("class_docs"), F.collect_list("at").alias("ats"))
+        return stored(runs.drop("run"), "runs")
+
+    def extended(self, runs: DataFrame) -> DataFrame:
+        """runs with the words wa to wb and characters of what agrees: start, end, and first_start, first_end in the text that stays."""
+        ends = F.array(
+            F.struct("node", "least", F.col("a").alias("pos"), F.lit(-1).alias("side")), F.struct("node", "least", F.col("b").alias("pos"), F.lit(1).alias("side")),
+            F.struct(F.col("first").alias("node"), F.col("first_id").alias("least"), (F.col("a") - F.col("shift")).alias("pos"), F.lit(-1).alias("side")),
+            F.struct(F.col("first").alias("node"), F.col("first_id").alias("least"), (F.col("b") - F.col("shift")).alias("pos"), F.lit(1).alias("side")),
+        )
+        asks = runs.select(F.explode(ends).alias("x")).select("x.*").distinct()
+        asked = stored(asks.groupBy("node", "least").agg(F.collect_list(F.struct("pos", "side")).alias("asked")), "asked")
+        n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+        told = stored(self._text_of(asked, n).mapInPandas(_around(self.min_run, self.window), AROUND), "around")
+        for pos, side in (("a", -1), ("b", 1)):
+            own = told.where(F.col("side") == side)
+            mine, theirs = own.select("node", F.col("pos").alias(pos), F.struct("near", "edge").alias("x")), own.select(F.col("node").alias("first"), F.col("pos").alias("_fp"), F.struct("near", "edge").alias("y"))
+            runs = runs.join(mine, ["node", pos]).withColumn("_fp", F.col(pos) - F.col("shift")).join(theirs, ["first", "_fp"]).drop("_fp")
+            runs = runs.withColumn("more", _agree(side)("x.near", "y.near"))
+            runs = runs.withColumns({f"{pos}_own": F.col("x.edge") + side * F.col("more.one"), f"{pos}_first": F.col("y.edge") + side * F.col("more.two"), f"w{pos}": F.col("a") - F.col("more.n") if side < 0 else F.col("b") + self.min_run + F.col("more.n")}).drop("x", "y", "more")
+        out = stored(runs, "extended")
+        discard(asked, told)
+        return out
+
+    def found(self) -> DataFrame:
+        """doc_id, start, end, words, class_id, class_docs, removed."""
+        runs = self.stars()
+        wide = self.extended(runs)
+        discard(runs)
+        whole = _merged(wide, "wa", "wb").groupBy("node", "least", "first", "first_id", "shift", "run")
+        whole = whole.agg(F.min("wa").alias("wa"), F.max("wb").alias("wb"), F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("first_start"), F.max("b_first").alias("first_end"), F.max("class_docs").alias("class_docs"), F.max("places").alias("places"), F.flatten(F.collect_list("ats")).alias("ats"))
+        whole = stored(whole.withColumn("words", F.col("wb") - F.col("wa")), "repeats")
+        rows = self._rows(whole.where(F.col("words") >= self.report_from))
+        short = whole.where((F.col("words") < self.report_from) & (F.col("places") > 2))
+        asked = stored(short.groupBy("node", "least").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("asked")), "short-repeats")
+        n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
+        if not n:
+            return rows
+        frames = self._text_of(asked, n).mapInPandas(_frames(self.min_run, self.report_from), FRAMES)
+        frames = stored(frames.join(self.copies.where("named"), "node"), "frames")
+        place = F.struct(F.col("least").isNull(), "least", "at", "node", "start", "end")
+        by_text = frames.groupBy("frame", "node").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("m").alias("m"))
+        classes = by_text.groupBy("frame").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("m").alias("class_docs")).where("x < y")
+        met = frames.join(classes.select("frame", "x", "class_docs"), "frame").where("node <> x.node or at <> x.at")
+        met = met.select("node", "least", F.col("x.node").alias("first"), F.col("x.least").alias("first_id"), (F.col("at") - F.col("x.at")).alias("shift"), F.col("at").alias("wa"), (F.col("at") + self.report_from).alias("wb"), "start", "end", F.col("x.start").alias("first_start"), F.col("x.end").alias("first_end"), "class_docs")
+        joined = _merged(met, "wa", "wb").groupBy("node", "least", "first", "first_id", "shift", "run")
+        joined = joined.agg(F.min("wa").alias("wa"), F.max("wb").alias("wb"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_start").alias("first_start"), F.max("first_end").alias("first_end"), F.max("class_docs").alias("class_docs"))
+        return rows.unionByName(self._rows(joined.withColumn("words", F.col("wb") - F.col("wa"))))
+
+    @staticmethod
+    def _rows(whole: DataFrame) -> DataFrame:
+        went = whole.groupBy(F.col("least").alias("doc_id"), "node", "start", "end", "words").agg(F.min("first_id").alias("class_id"), F.max("class_docs").alias("class_docs")).withColumn("removed", F.lit(True))
+        stays = whole.groupBy(F.col("first_id").alias("doc_id"), F.col("first").alias("node"), F.col("first_start").alias("start"), F.col("first_end").alias("end"), "words").agg(F.max("class_docs").alias("class_docs"))
+        return went.unionByName(stays.withColumn("class_id", F.col("doc_id")).withColumn("removed", F.lit(False))).drop("node")
+
+
+def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999, min_words: int = 20, min_run: int = 20, exact_from: int = 50, report_from: int = 20, broadcast_rows: int = 400_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Units that occur more than once: doc_id, kind, start, end (characters), words, class_id (least id of the
-    class), class_docs, removed."""
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    class), class_docs, removed. Rows have report_from words at least; passages from max(exact_from, report_from) words
+    are sure."""
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), text_number(F.col(text)).alias("node"), F.col(text).alias("text"))
     bands, rows = tune_bands(threshold / 100, recall)
-    told = stored(texts.mapInPandas(_emit(min_words, min_run, exact_from - min_run + 1, k, bands, rows), UNITS), "units")
-    members = told.where("kind > 0").drop("key")
-    place = F.struct("id", "start")
-    collide = told.where("kind = 0").select(F.col("key").alias("gram"), F.col("unit").alias("id"))
-    shared = collide.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    active = cut(collide.join(shared, "gram").select("gram", "id", "low").distinct())
-    # one place of each paragraph that collides, and its text
-    want = active.select("id").distinct().withColumnRenamed("id", "unit")
-    spot = members.where("kind = 1").join(want, "unit").groupBy("unit").agg(F.min(F.struct("id", "start", "end")).alias("p")).select("unit", "p.*")
-    spot = cut(spot)
-    few = spot.count() <= 400_000
-    repeated = texts.count() > texts.select("id").distinct().count()
-    source = texts.dropDuplicates(["id"]) if repeated else texts
-    found = source.join(F.broadcast(spot) if few else spot, "id")
-    unit_text = stored(found.select(F.col("unit").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text")), "paragraphs")
-    own = unit_text.select("id", F.col("id").alias("cls"), F.lit(1).alias("n"))
-    label = components(StarJoin(unit_text, k, threshold).links(active, own))
-    # classes: of linked paragraphs, else of equal units
-    twice = members.groupBy("kind", "unit").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("kind", "unit")
-    linked = label.select(F.lit(1).alias("kind"), F.col("v").alias("unit"))
-    named = twice.unionByName(linked).distinct().join(label, (F.col("unit") == label["v"]) & (F.col("kind") == 1), "left")
-    named = cut(named.select("kind", "unit", F.coalesce("comp", "unit").alias("class")))
-    few = named.count() <= 400_000
-    hits = stored(members.join(F.broadcast(named) if few else named, ["kind", "unit"]).dropDuplicates(["kind", "id", "start"]), "hits")
-    discard(told)
-    place = F.struct("id", "start", "at")
-    by_doc = hits.groupBy("kind", "class", "id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    classes = by_doc.groupBy("kind", "class").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("class_docs")).where("first < last")
-    out = stored(hits.join(classes, ["kind", "class"]), "placed")
-    discard(hits)
-    whole = out.where("kind = 1").select("id", "start", "end", "words", F.col("first.id").alias("class_id"), "class_docs", (place != F.col("first")).alias("removed"))
-    pieces = out.where("kind = 2").select("unit", "id", "at", F.col("first.id").alias("fid"), F.col("first.at").alias("fat"), "class_docs")
-    parts = passages(pieces, texts, min_run, exact_from - min_run + 1, repeated)
-    told = whole.withColumn("kind", F.lit("paragraph")).unionByName(parts.withColumn("kind", F.lit("piece")))
-    return told.select(F.col("id").alias("doc_id"), "kind", "start", "end", "words", "class_id", "class_docs", "removed")
+    told = stored(texts.mapInArrow(_emit(max(min_words, report_from), min_run, exact_from - min_run + 1, k, bands, rows), UNITS), "units")
+    names = stored(texts.select("id", "node").distinct(), "documents")
+    n_docs = names.count()
+    repeated = texts.count() > n_docs
+    extent = told.where(F.col("kind") == WHOLE).select("node", "start", "end", "words").distinct()
+    copies = names.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("m")).withColumn("named", F.lit(True))
+    copies = stored(copies.join(extent, "node"), "texts")
+
+    # paragraphs
+    members = told.where(F.col("kind") == PARAGRAPH).select("unit", "id", "node", "start", "end", "words")
+    keys = told.where((F.col("kind") == PARAGRAPH) & (F.size("keys") > 0)).select("unit", "keys").dropDuplicates(["unit"])
+    collide = stored(keys.select(F.explode("keys").alias("gram"), F.col("unit").alias("id"), F.lit(1).alias("n")), "bands")
+    shared = collide.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("gram", "low", F.lit(1).alias("low_n"))
+    active = stored(collide.join(shared, "gram"), "shared-bands")
+    discard(collide)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """One place of each unit, and its text."""
+        spot = members.join(ids.withColumnRenamed("id", "unit"), "unit", "left_semi").groupBy("unit").agg(F.min(F.struct("node", "id", "start", "end")).alias("p"))
+        spot = stored(spot.select("unit", F.col("p.node").alias("_sn"), F.col("p.id").alias("_si"), "p.start", "p.end"), "spots")
+        found = texts.join(F.broadcast(spot) if spot.count() <= broadcast_rows else spot, (F.col("node") == F.col("_sn")) & F.col("id").eqNullSafe(F.col("_si")))
+        found = found.select(F.col("unit").alias("id"), F.expr("substring(text, start + 1, end - start)").alias("text"))
+        return found.dropDuplicates(["id"]) if repeated else found
+
+    label = components(StarJoin(docs.sparkSession, texts_of, k, threshold, broadcast_rows=broadcast_rows).links(active))
+    discard(active)
+    # classes: of linked paragraphs, else of equal ones
+    place = F.struct(F.col("id").isNull(), "id", "node", "start")
+    equal = members.groupBy("unit").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("m"))
+    named = equal.join(label, equal["unit"] == label["v"], "left").where("x < y or v is not null")
+    named = stored(named.select("unit", F.coalesce("comp", "unit").alias("class"), "m"), "paragraph-classes")
+    hits = spread_join(members, named, "unit", ["class"], hot_keys(named, "m", n_docs), F.xxhash64("id", "node", "start")).where("class is not null")
+    hits = stored(hits.dropDuplicates(["id", "node", "start"]), "hits")
+    by_doc = hits.groupBy("class", "id", "node").agg(F.min(place).alias("x"), F.max(place).alias("y"))
+    classes = by_doc.groupBy("class").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.count("*").alias("class_docs")).where("x < y")
+    classes = stored(classes.select("class", "x", "class_docs"), "classes")
+    lines = spread_join(hits, classes, "class", ["x", "class_docs"], hot_keys(classes, "class_docs", n_docs), F.xxhash64("id", "node", "start")).where("x is not null")
+    lines = lines.select(F.col("id").alias("doc_id"), F.lit("paragraph").alias("kind"), "start", "end", "words", F.col("x.id").alias("class_id"), "class_docs", (place != F.col("x")).alias("removed"))
+
+    # copies of whole texts
+    many = copies.where((F.col("m") > 1) & (F.col("words") >= report_from)).drop("named")
+    whole = spread_join(names, many, "node", ["least", "m", "start", "end", "words"], hot_keys(many, "m", n_docs), F.xxhash64("id")).where("m is not null")
+    whole = whole.select(F.col("id").alias("doc_id"), "start", "end", "words", F.col("least").alias("class_id"), F.col("m").alias("class_docs"), (~F.col("id").eqNullSafe(F.col("least"))).alias("removed"))
+
+    # runs
+    pieces = told.where(F.col("kind") == PIECE).select("unit", "node", "at", "link", "next")
+    runs = Passages(pieces, texts, copies.select("node", "least", "m", "named"), min_run, exact_from - min_run + 1, report_from, repeated, broadcast_rows)
+    passages = stored(runs.found(), "passages")
+    discard(told, runs.members)
+    parts = whole.unionByName(passages).withColumn("kind", F.lit("piece"))
+    return lines.unionByName(parts.select(lines.columns))

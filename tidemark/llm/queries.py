@@ -38,19 +38,25 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as the payload of one figure of a document; what is returned was read back from the media table."""
+    """Every text is a page whose lines are paragraphs, with a figure in the midst of them that refers to the payload of
+    the whole text. What is returned was read back from the media table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    payloads = docs.select(media.padded(F.col("text")).alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
-    found = media.features(media.store(payloads))
     digest = F.sha2(media.padded(F.col("text")), 256)
-    figure = F.concat(F.lit('<article><figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.col("doc_id").cast("string"), F.lit("</figcaption></figure></article>"))
-    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), figure.alias("html"))
-    rows = media.resolve(media.parse_sequences(pages), found).where("kind = 'media'")
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    found = media.features(media.store(docs.select(digest.alias("digest"), media.padded(F.col("text")).alias("payload"))))
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(escaped, "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    told = lambda some: F.concat(F.lit("<p>"), F.array_join(some, "</p><p>"), F.lit("</p>"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    html = F.concat(told(F.slice(lines, F.lit(1), half)), figure, told(F.slice(lines, half + 1, F.size(lines))))
+    pages = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), html.alias("html"))
+    hot = media.references(docs.select(digest.alias("digest")), docs.count())
+    rows = media.resolve(media.parse_sequences(pages), found, hot).where("kind = 'media'")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +84,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_dedup.find(table(spark, sf_dir, "documents"))
+    """Passages of 50 words and more: shorter ones are licence lines and phrases, which stay."""
+    return paragraph_dedup.find(table(spark, sf_dir, "documents"), report_from=50)
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_template_html, op3_language_crf, op4_mixture, op5_media, op6_url_rules, op7_ngram_join, op8_decontam, op9_toxicity, op10_paragraph_dedup)}
@@ -111,13 +118,15 @@ c as (
   select *, (total - coalesce(sum(2 * n) over b, 0)) / (sum(w) over () - coalesce(sum(w) over b, 0)) as level
   from w window b as (order by 2 * n / w, i rows between unbounded preceding and 1 preceding)),
 g as (select source, n, i, least(2.0 * n, w * (select level from c where level < 2 * n / w order by 2 * n / w, i limit 1)) as target, total from c),
-q as (select source, i, target / (2 * k - 1) as q from (select source, i, target, unnest(generate_series(1, (target / 32)::bigint + 3)) as k from g where target > 0)),
-s as (select source, count(*) * 32 as cut from (select source, row_number() over (order by q desc, i) as rank from q)
-  where rank <= (select (max(total) * 2 + 32)::bigint // 64 from g) group by source),
+q as (select source, i, k, target / (2 * k - 1) as q from (select source, i, target, unnest(generate_series(1, (target / 32)::bigint + 3)) as k from g where target > 0)),
+r as (select source, k, row_number() over (order by q desc, i) as rank, (select (max(total) * 2 + 32)::bigint // 64 from g) as blocks from q qualify rank <= blocks),
+s as (select source, count(*) * 32 as cut from r group by source),
 p as (select *, coalesce(sum(size) over (partition by source order by key rows between unbounded preceding and 1 preceding), 0) as first_word from d)
 select p.doc_id, p.size::bigint as size, g.n as source_size, g.target,
-  (greatest(0, least(p.size, coalesce(s.cut, 0) - first_word)) + greatest(0, least(p.size, coalesce(s.cut, 0) - first_word - g.n)))::bigint as taken
-from p join g on p.source is not distinct from g.source left join s on p.source is not distinct from s.source""",
+  (greatest(0, least(p.size, coalesce(s.cut, 0) - first_word)) + greatest(0, least(p.size, coalesce(s.cut, 0) - first_word - g.n)))::bigint as taken,
+  case when p.size > 0 then ((r.rank * 24 - 1) // r.blocks)::int end as shard
+from p join g on p.source is not distinct from g.source left join s on p.source is not distinct from s.source
+  left join r on p.source is not distinct from r.source and r.k = first_word // 32 + 1""",
     "op8_decontam": rf"""
 with t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_U}', '{_L}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), '{_U}', '{_L}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),

@@ -1,16 +1,18 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs. A word is a run of letters, A-Z lower-cased; a word right after itself is read once. Its input joins a word embedding (vocabulary of the training
-sample, with a cautious log-odds start) and the mean embedding of its hashed byte trigrams with word borders. Both
-are looked up, and multiplied by the input weights, once for each distinct word.
+Inputs. A word is a run of letters, A-Z lower-cased; every word of a text is read. Its input joins a word embedding
+(vocabulary of the training sample, with a cautious log-odds start) and the mean embedding of its hashed byte trigrams
+with word borders. Both are looked up, and multiplied by the input weights, once for each distinct word.
 
 Windows. All windows of `width` words at every half width, to the end of the text; each is read in both directions, its states
 are pooled by learned attention, and a logistic unit scores it. A text's score is its highest window's.
 
 Training. Windows are not labelled, texts are: in each epoch a text stands for itself by its highest window (at first by
-log-odds, then by the network), and clean texts also by a random one, some of them turned
-into one word said again and again. Adam, class-balanced. The sample is
-bounded: about train_docs texts a label, chosen by a hash of the id; near-copies in it count once.
+log-odds, then by the network), and clean texts also by a random one, some of them turned into one word said again
+and again. Every text of the sample is used in every epoch; as some labels are wrong, the loss is the generalised cross
+entropy (1 - p^q) / q from the third epoch on, whose slope fades where the network is sure of the contrary. Adam,
+class-balanced. The sample is bounded: about train_docs texts a label, chosen by a hash of the id; near-copies in it
+count once. The network is fitted in one executor task, as the sample is bounded; the driver holds the network only.
 
 Defined cases: a text without words (null, empty) scores the network's answer to an empty window, which is trained as
 clean; without training rows of both labels all scores are 0; repeated rows are judged alike; an empty table gives an
@@ -19,12 +21,14 @@ empty result. Extra columns stay; score and predicted are replaced.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidemark.llm.common import fitted
 from tidemark.llm.language_crf import sample
 from tidemark.llm.textnum import NOT_LETTERS, bucket, chunks, gram_positions, mix64, shingle_sets, words
 
@@ -165,12 +169,13 @@ class Network:
         value = (flat[0] @ self.w["out"][:k] + flat[1] @ self.w["out"][k:]).reshape(spot.shape)
         return (s * value).sum(0) + self.w["out_b"][0]
 
-    def gradients(self, word, grams, begins, spot, mask, truth, weight) -> tuple[dict, float]:
-        """spot: (B, T) rows of the distinct words."""
+    def gradients(self, word, grams, begins, spot, mask, truth, weight, doubt: float = 0.0) -> tuple[dict, float]:
+        """spot: (B, T) rows of the distinct words. doubt: q of the generalised cross entropy; 0 is the plain one."""
         x, proj = self.inputs(word, grams, begins)
         logit, (tf, tb, h, a, s, pooled) = self.pool(proj[spot], mask, True)
         prob = _sigmoid(logit)
-        d = (weight * (prob - truth) / weight.sum()).astype(np.float32)
+        fits = np.where(truth > 0, prob, 1 - prob)
+        d = (weight * (prob - truth) * fits**doubt / weight.sum()).astype(np.float32)
         g = {"out": pooled.T @ d, "out_b": d.sum(keepdims=True)}
         g_pool = d[:, None] * self.w["out"]
         g_h = s[:, :, None] * g_pool[:, None, :]
@@ -194,7 +199,7 @@ class Network:
         n = np.diff(np.append(begins, len(grams)))
         share = np.repeat(g_x[:, dim:] / n[:, None].astype(np.float32), n, axis=0)
         g["gram"] = np.stack([np.bincount(grams, share[:, c], 1 << GRAM_BITS) for c in range(share.shape[1])], 1).astype(np.float32)
-        loss = -(weight * np.log(np.where(truth > 0, prob, 1 - prob) + 1e-9)).sum() / weight.sum()
+        loss = (weight * ((1 - fits**doubt) / doubt if doubt else -np.log(fits + 1e-9))).sum() / weight.sum()
         return g, float(loss)
 
 
@@ -221,13 +226,10 @@ def _places(begin: np.ndarray, length: np.ndarray, width: int, last: int) -> tup
 
 
 class Texts:
-    """Words of texts with their distinct words; a word right after itself is read once."""
+    """Words of texts with their distinct words."""
 
     def __init__(self, texts: list):
-        number, owner, first, end, data = words(texts, between=NOT_LETTERS)
-        new = np.ones(len(number), bool)
-        new[1:] = (number[1:] != number[:-1]) | (owner[1:] != owner[:-1])
-        self.number, owner, first, end = number[new], owner[new], first[new], end[new]
+        self.number, owner, first, end, data = words(texts, between=NOT_LETTERS)
         self.bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
         self.distinct, at, self.spot = np.unique(self.number, return_index=True, return_inverse=True)
         self.grams, self.begins = trigrams(first[at], end[at], data) if len(at) else (np.empty(0, np.int64), at)
@@ -262,7 +264,7 @@ def thin(texts: list) -> list[int]:
     return kept
 
 
-def train(texts: list, truth: list, epochs: int = 8, least_steps: int = 240, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.1, seed: int = 3) -> Network | None:
+def train(texts: list, truth: list, epochs: int = 8, least_steps: int = 240, batch: int = 128, rate: float = 0.01, decay: float = 0.01, stutter: float = 0.1, fade: float = 0.7, seed: int = 3) -> Network | None:
     kept = thin(texts)
     texts, truth = [texts[i] for i in kept] + [""], np.array([truth[i] for i in kept] + [0], np.float32)
     if not truth.any() or len(truth) < 3 or truth[:-1].all():
@@ -292,8 +294,6 @@ def train(texts: list, truth: list, epochs: int = 8, least_steps: int = 240, bat
         if epoch > 1:
             logits = held.scores(network)[0]
         top = best_windows(logits, owner)
-        if epoch > 1:  # labelled texts in which nothing looks it by now: their label is not learned by heart
-            top = top[(truth[owner[top]] == 0) | (logits[top] > -3)]
         clean = np.flatnonzero(truth[owner] == 0)
         chosen = np.concatenate([top, draw.choice(clean, min(len(clean), len(texts)), replace=False)])
         chosen = draw.permutation(chosen)
@@ -309,7 +309,7 @@ def train(texts: list, truth: list, epochs: int = 8, least_steps: int = 240, bat
             n = lengths[rows]
             ends = np.cumsum(n)
             grams = held.grams[np.arange(ends[-1]) - np.repeat(ends - n - held.begins[rows], n)]
-            g, _ = network.gradients(vocabulary[rows], grams, ends - n, spot.reshape(places.shape), mask, truth[owner[c]], weight_of[i : i + batch].astype(np.float32))
+            g, _ = network.gradients(vocabulary[rows], grams, ends - n, spot.reshape(places.shape), mask, truth[owner[c]], weight_of[i : i + batch].astype(np.float32), fade if epoch > 1 else 0.0)
             step += 1
             for k, v in network.w.items():
                 m, s = moment[k]
@@ -337,15 +337,19 @@ def classify(docs: DataFrame, labels: DataFrame, trains: Column, train_docs: int
     docs = docs.drop("score", "predicted")
     known = labels.where(trains & F.col(label).isNotNull()).select(doc_id, F.col(label).alias("_label"))
     few = sample(known, "_label", train_docs, doc_id)  # train_docs a label
-    rows = docs.select(doc_id, text).join(F.broadcast(few), doc_id).toPandas()
-    rows = rows.sort_values([doc_id, text]).drop_duplicates(text)
-    network = train([t or "" for t in rows[text]], rows["_label"].tolist())
-    held = docs.sparkSession.sparkContext.broadcast(network)  # the sample's vocabulary at most
+    rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(few), F.col("i") == F.col(doc_id)).select("i", "t", "_label")
+
+    def fit(rows: pd.DataFrame) -> Network | None:
+        rows = rows.sort_values(["i", "t", "_label"]).drop_duplicates("t")
+        return train([t or "" for t in rows["t"]], rows["_label"].tolist())
+
+    held = docs.sparkSession.sparkContext.broadcast(fitted(rows, fit))  # the sample's vocabulary at most
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        network = pickle.loads(held.value)
         for batch in batches:
-            batch["score"] = score_texts(held.value, batch[text].tolist())
+            batch["score"] = score_texts(network, batch[text].tolist())
             batch["predicted"] = (batch["score"] >= 0.5).astype("int32")
             yield batch[schema.names]
 

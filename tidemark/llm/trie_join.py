@@ -35,7 +35,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import discard, hot_keys, spread_join, stored
 from tidemark.llm.components import components
@@ -62,6 +62,11 @@ def class_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def text_number(text: Column) -> Column:
+    """64-bit number of a text; null is like the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def ordered(found: np.ndarray, heavy: np.ndarray, place: np.ndarray) -> np.ndarray:
     """A set in the global order: 63-bit numbers, then heavy n-grams by place. heavy is sorted."""
     keys = found & ~_TOP
@@ -308,7 +313,7 @@ class TrieJoin:
     def __init__(self, docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", max_heavy: int = 1 << 18, heavy_from: int = 6, block: int = 256, pairwise: int = 32, broadcast_rows: int = 400_000):
         spark = docs.sparkSession
         self.k, self.percent, self.broadcast_rows = k, percent, broadcast_rows
-        self.source = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("node"), F.col(text).alias("text"))
+        self.source = docs.select(F.col(doc_id).cast("long").alias("id"), text_number(F.col(text)).alias("node"), F.col(text).alias("text"))
         self.told = stored(self.source.mapInArrow(_describe(k, 2), DESCRIBED), "ngrams")
         often = self.told.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= heavy_from)
         top = often.orderBy(F.desc("n"), "cls").limit(max_heavy).toArrow()  # max_heavy rows of 16 bytes at most
@@ -320,6 +325,7 @@ class TrieJoin:
         #: id, node, n, cls of every row.
         self.rows = self.told.where("kind = 0").select("id", "node", "n", "cls")
         bins = self.told.where("kind = 2").select(F.col("cls").alias("id"), "bins")
+        self._repeated: bool | None = None
         self.star = StarJoin(spark, self._texts_of, k, percent, self.order, block, pairwise, broadcast_rows, bins)
 
     def _texts_of(self, ids: DataFrame) -> DataFrame:
@@ -329,8 +335,13 @@ class TrieJoin:
         few = want.count() <= self.broadcast_rows
         found = self.source.join(F.broadcast(want) if few else want, (self.source["node"] == want["node"]) & self.source["id"].eqNullSafe(F.col("_id")))
         found = found.select(F.col("cls").alias("id"), "text")
-        repeated = self.rows.count() > self.rows.select("id", "node").distinct().count()
-        return found.dropDuplicates(["id"]) if repeated else found
+        return found.dropDuplicates(["id"]) if self.repeated() else found
+
+    def repeated(self) -> bool:
+        """Whether an id occurs twice with one text."""
+        if self._repeated is None:
+            self._repeated = self.rows.count() > self.rows.select("id", "node").distinct().count()
+        return self._repeated
 
     def links(self) -> DataFrame:
         """a, b: linked classes; their components are those of all links."""
@@ -343,14 +354,17 @@ class TrieJoin:
         return out
 
     def documents(self) -> DataFrame:
-        """id, n, cls (null for empty sets), comp (the least id of its component) for every row."""
+        """id, node (a number of the text), n, cls (null for empty sets), comp (the least id of its component) and kept
+        (whether it is the document that stands for its component, the least by id and text) for every row."""
         label = components(self.links())
-        size = stored(self.rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("m")), "classes")
+        least = F.min(F.struct(F.col("id").isNull(), "id", "node"))
+        size = stored(self.rows.where("n > 0").groupBy("cls").agg(least.alias("least"), F.count("*").alias("m")), "classes")
         own = size.join(label.withColumnRenamed("v", "cls"), "cls", "left").where("m > 1 or comp is not null")
         named = stored(own.select("cls", F.coalesce("comp", "cls").alias("comp"), "least", "m"), "linked-classes")
         whole = named.groupBy("comp").agg(F.min("least").alias("first"))
-        first = stored(named.join(whole, "comp").select("cls", "first", "m"), "component-ids")
+        first = stored(named.join(whole, "comp").select("cls", F.col("first.id").alias("first"), F.col("first.node").alias("first_node"), "m"), "component-ids")
         discard(size, named)
         rows = self.rows.withColumn("cls", F.when(F.col("n") > 0, F.col("cls")))
-        found = spread_join(rows, first, "cls", ["first"], hot_keys(first, "m", self.rows.count()), F.xxhash64("id", "node"))
-        return found.select("id", "n", "cls", F.coalesce("first", "id").alias("comp"))
+        found = spread_join(rows, first, "cls", ["first", "first_node"], hot_keys(first, "m", self.rows.count()), F.xxhash64("id", "node"))
+        kept = F.col("first_node").isNull() | (F.col("first").eqNullSafe(F.col("id")) & (F.col("first_node") == F.col("node")))
+        return found.select("id", "node", "n", "cls", F.coalesce("first", "id").alias("comp"), kept.alias("kept"))
