@@ -1,11 +1,15 @@
-"""Documents through toxicity filter, near-duplicate removal, decontamination, source mixture and sharding."""
+"""Documents through toxicity filter, near-duplicate removal, decontamination, source mixture and sharding.
+
+Defined cases of every stage: an empty table gives an empty one; null and empty texts pass the filters, take no words
+of the mixture (and so leave there); extra columns stay with their documents until the mixture and come out of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import balanced_lp, decontam, mixture, toxicity_rnn, trie_join
-from tidemark.llm.common import cut, stored, table
+from tidemark.llm.common import stored, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +20,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, broadcast_rows: int = 400_000) -> DataFrame:
-    """Of each component of texts with 80 % of their 5-word n-grams in common, the document with the least id stays."""
-    found = trie_join.TrieJoin(docs).documents().where("id <> comp").select(F.col("id").alias("doc_id")).distinct()
-    gone = cut(found)
+    """Of each component of texts with 80 % of their 5-word n-grams in common, the document with the least id stays (of
+    two texts with that id the one with the lesser hash). Rows repeated with one id and text are one document."""
+    join = trie_join.TrieJoin(docs)
+    gone = stored(join.documents().where("not kept").select(F.col("id").alias("_gi"), F.col("node").alias("_gn")).distinct(), "duplicates")
     few = gone.count() <= broadcast_rows
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    marked = docs.withColumn("_node", trie_join.text_number(F.col("text")))
+    same = (marked["_node"] == gone["_gn"]) & marked["doc_id"].cast("long").eqNullSafe(gone["_gi"])
+    left = marked.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    if join.repeated():
+        left = left.dropDuplicates(["doc_id", "_node"])
+    return left.select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +40,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them."""
+    """Documents as often as the mixture takes them; the one that a source's last block cuts gives the words taken."""
     return mixture.emit(mixture.mix(docs)).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return balanced_lp.assign(docs)
+    """All columns of documents, and for each row its size, checksum, law, shard and place in the shard."""
+    return balanced_lp.assign(docs, keep=[c for c in docs.columns if c != "doc_id"])
 
 
 STAGES = [
