@@ -24,7 +24,7 @@ def plain(v):
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
     if isinstance(v, (int, float, np.integer, np.floating)) or type(v).__name__ == "Decimal":
-        return str(float(v))
+        return str(float(v) + 0.0)  # -0.0 is 0.0
     return str(v)
 
 

@@ -73,7 +73,7 @@ def source_quality(bars: DataFrame, step: int, key: str = "symbol", jump: float
     """Receipt of a source: rows, missing bars inside the span, idle rows, adjacent jumps."""
     by = W.partitionBy(key).orderBy("open_us")
     near = bars.withColumn("_p", F.lag("close").over(by)).withColumn("_t", F.lag("open_us").over(by))
-    jumped = (F.col("open_us") - F.col("_t") == step) & (F.abs(F.col("close") / F.col("_p") - 1) > jump)
+    jumped = (F.col("open_us") - F.col("_t") == step) & (F.abs(F.try_divide(F.col("close"), F.col("_p")) - 1) > jump)
     return near.groupBy(key).agg(
         F.count("*").alias("n_rows"),
         F.expr(f"(max(open_us) - min(open_us)) div {step} + 1 - count(*)").alias("missing_rows"),

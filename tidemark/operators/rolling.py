@@ -33,4 +33,4 @@ class Frame:
 
 
 def ratio(a: Column, b: Column, otherwise: float) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(otherwise))
+    return F.when(b > 0, F.try_divide(a, b)).otherwise(F.lit(otherwise))

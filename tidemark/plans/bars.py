@@ -9,11 +9,12 @@ from tidemark.operators.rolling import Frame
 from tidemark.plans.base import BARS, DAY, HOUR, SEGMENTS, TICKS, bars, query, ticks
 
 r6 = lambda c: F.round(c, 6).alias(c)
-S = X.FeatureSpec().scaled(short=2, middle=3, long=4, base=5, day=6, horizon=4)
+S = X.FeatureSpec(short=2, middle=3, long=4, base=5, day=6, horizon=5)
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
-    return I.segments(bars(spark, d), HOUR)
+    """Admitted bars in contiguous segments; a bar without a positive price breaks them."""
+    return I.segments(bars(spark, d).where("low > 0"), HOUR)
 
 
 @query("s01_window_scan", f"with {TICKS} select symbol, us, value from ticks where us >= 1704153600000000 and us < 1704326400000000 - 60000000")
@@ -22,11 +23,12 @@ def window_scan(spark, d):
     return ticks(spark, d).where((F.col("us") >= 1704153600000000) & (F.col("us") < 1704326400000000 - 60_000_000)).select("symbol", "us", "value")
 
 
-@query("s15_json_frames", f"with {TICKS} select event_id, symbol, cast(json_extract_string(props, '$.k') as bigint) as k, case when symbol = 'click' then 'kline' when symbol = 'view' then 'trade' else 'other' end as kind from ticks where cast(json_extract_string(props, '$.k') as bigint) between 10 and 60")
+@query("s15_json_frames", f"with {TICKS} select event_id, symbol, cast(json_extract_string(props, '$.k') as bigint) as k, case when symbol = 'click' then 'kline' when symbol = 'view' then 'trade' else 'other' end as kind from ticks")
 def json_frames(spark, d):
+    """Every frame is decoded; its stream's name says what it is."""
     frame = ticks(spark, d).withColumn("k", F.from_json("props", "k bigint")["k"])
     kind = F.when(F.col("symbol") == "click", "kline").when(F.col("symbol") == "view", "trade").otherwise("other")
-    return frame.where("k between 10 and 60").select("event_id", "symbol", "k", kind.alias("kind"))
+    return frame.select("event_id", "symbol", "k", kind.alias("kind"))
 
 
 @query("a01_tick_bars", f"with {BARS} select symbol, open_us, open, high, low, close, round(turnover, 6) as turnover, round(taker, 6) as taker, trades from bars")
@@ -71,7 +73,7 @@ def missing_grid(spark, d):
 
 
 @query("a08_source_quality", f"""with {BARS}, l as (select *, lag(close) over w as p, lag(open_us) over w as t from bars window w as (partition by symbol order by open_us))
-select symbol, count(*) as n_rows, (max(open_us) - min(open_us)) // 3600000000 + 1 - count(*) as missing_rows, count(*) filter (where taker = 0) as idle_rows, count(*) filter (where open_us - t = 3600000000 and abs(close / p - 1) > 0.5) as jumps from l group by symbol""")
+select symbol, count(*) as n_rows, (max(open_us) - min(open_us)) // 3600000000 + 1 - count(*) as missing_rows, count(*) filter (where taker = 0) as idle_rows, count(*) filter (where open_us - t = 3600000000 and abs(close / nullif(p, 0) - 1) > 0.5) as jumps from l group by symbol""")
 def source_quality(spark, d):
     return B.source_quality(bars(spark, d), HOUR)
 
@@ -119,9 +121,10 @@ _BASE = f"""with {SEGMENTS}, f0 as (select *, ln(close / lag(close) over w) as l
   from segs window w as (partition by symbol, segment order by open_us), w2 as (partition by symbol, segment order by open_us rows between 1 preceding and current row),
     w3 as (partition by symbol, segment order by open_us rows between 2 preceding and current row), w4 as (partition by symbol, segment order by open_us rows between 3 preceding and current row),
     w6 as (partition by symbol, segment order by open_us rows between 5 preceding and current row)),
-f1 as (select *, greatest(lr, 0) as up, close / lag(close) over w - 1 as return_1, close / lag(close, 2) over w - 1 as return_short, close / lag(close, 3) over w - 1 as return_middle, close / lag(close, 4) over w - 1 as return_long,
-    case when count(lr) over w4 = 4 then stddev_samp(lr) over w4 end as volatility_long,
-    case when count(*) over w4 = 4 then close / max(close) over w4 - 1 end as drawdown_long,
+f1 as (select *, greatest(lr, 0) as up, close / lag(close) over w - 1 as return_1, close / lag(close, 2) over w - 1 as return_short, close / lag(close, 3) over w - 1 as return_middle, close / lag(close, 4) over w - 1 as return_long, close / lag(close, 5) over w - 1 as return_horizon,
+    case when count(lr) over w4 = 4 then stddev_samp(lr) over w4 end as volatility_long, case when count(lr) over w5 = 5 then stddev_samp(lr) over w5 end as volatility_horizon,
+    case when count(*) over w4 = 4 then close / max(close) over w4 - 1 end as drawdown_long, case when count(*) over w5 = 5 then close / max(close) over w5 - 1 end as drawdown_horizon,
+    case when count(*) over p4 = 4 then ln(((q_s + 1) / (n_s + 1)) / ((sum(turnover) over p4 + 1) / (sum(trades) over p4 + 1))) end as trade_size_change,
     case when count(*) over w4 = 4 then max(high) over w4 / min(low) over w4 - 1 end as range_long,
     case when high > low then (close - low) / (high - low) else 0.5 end as close_location,
     lag(close, 2) over w / lag(close, 4) over w - 1 as return_previous,
@@ -133,6 +136,7 @@ f1 as (select *, greatest(lr, 0) as up, close / lag(close) over w - 1 as return_
     case when q_m is not null then case when q_m > 0 then b_m / q_m else 0.5 end end as buy_middle,
     ln(1 + q_d) as log_turnover
   from f0 window w as (partition by symbol, segment order by open_us), w4 as (partition by symbol, segment order by open_us rows between 3 preceding and current row),
+    w5 as (partition by symbol, segment order by open_us rows between 4 preceding and current row),
     p4 as (partition by symbol, segment order by open_us rows between 5 preceding and 2 preceding), p5 as (partition by symbol, segment order by open_us rows between 8 preceding and 4 preceding))"""
 
 
@@ -162,7 +166,7 @@ def path_features(spark, d):
 
 
 @query("w06_dynamics", _BASE + """ select symbol, open_us, round(ln((q_s + 1) / (lag(q_s, 2) over w + 1)), 6) as turnover_change, round(lag(buy_short, 2) over w, 6) as buy_previous,
-  round(buy_short - lag(buy_short, 2) over w, 6) as buy_acceleration, round(return_short - return_previous, 6) as price_acceleration, round((2 * buy_middle - 1) * return_middle, 6) as agreement
+  round(buy_short - lag(buy_short, 2) over w, 6) as buy_acceleration, round(return_short - return_previous, 6) as price_acceleration, round((2 * buy_middle - 1) * return_middle, 6) as agreement, round(trade_size_change, 6) as trade_size_change
   from f1 window w as (partition by symbol, segment order by open_us)""")
 def dynamics(spark, d):
     return X.enrich(segs(spark, d), S).select("symbol", "open_us", *map(r6, X.DYNAMICS))
@@ -176,13 +180,23 @@ def eligible(spark, d):
     return X.enrich(segs(spark, d), S).where((F.col("q_d") >= 100) & fit & F.col("symbol").endswith("e")).select("symbol", "open_us")
 
 
-@query("w05_observability", f"""with {BARS}, v as (select *, turnover < 60 as valid from bars), a as (select *, case when open_us - lag(open_us) over w = 3600000000 and lag(valid) over w and valid then 0 else 1 end as f from v window w as (partition by symbol order by open_us)),
-b as (select *, sum(f) over (partition by symbol order by open_us) as s from a), c as (select *, row_number() over (partition by symbol, s order by open_us) as contiguous,
-  (open_us - last_value(case when trades > 0 then open_us end ignore nulls) over (partition by symbol order by open_us)) / 3600000000 as last_traded_age from b)
-select symbol, open_us, contiguous, last_traded_age, case when not valid then 'invalid_bar' when contiguous < 3 then 'insufficient_contiguous_history' when trades <= 1 then 'origin_without_trade' else 'admitted' end as selection_reason from c""")
+@query("w05_observability", f"""with {BARS}, v as (select *, turnover < 60 as valid from bars), a as (select *, valid and trades > 0 and turnover > 0 as seen, case when open_us - lag(open_us) over w = 3600000000 and lag(valid) over w and valid then 0 else 1 end as f from v window w as (partition by symbol order by open_us)),
+b as (select *, sum(f) over (partition by symbol order by open_us) as s from a), c as (select *, case when valid then row_number() over (partition by symbol, s order by open_us) else 0 end as contiguous,
+  (open_us - last_value(case when seen then open_us end ignore nulls) over (partition by symbol order by open_us)) / 3600000000 as last_traded_age, avg(seen::int) over (partition by symbol order by open_us rows between 3 preceding and current row) as fraction from b)
+select symbol, open_us, contiguous::bigint as contiguous, last_traded_age, case when contiguous >= 4 then round(fraction, 6) end as observed_fraction, contiguous >= 3 and seen as origin_admissible,
+  case when not valid then 'invalid_bar' when contiguous < 3 then 'insufficient_contiguous_history' when not seen then 'origin_without_trade' else 'admitted' end as selection_reason from c""")
 def observability(spark, d):
-    out = X.observability(bars(spark, d).withColumn("valid", F.col("turnover") < 60), HOUR, 3)
-    return out.select("symbol", "open_us", F.col("contiguous").cast("long").alias("contiguous"), "last_traded_age", "selection_reason")
+    out = X.observability(bars(spark, d).withColumn("valid", F.col("turnover") < 60), HOUR, 3, mean_of=4)
+    return out.select("symbol", "open_us", F.col("contiguous").cast("long").alias("contiguous"), "last_traded_age", r6("observed_fraction"), "origin_admissible", "selection_reason")
+
+
+@query("p08_batch_eligible", _BASE + """, l as (select *, count(*) over (partition by symbol, segment) as length from f1), x as (select *, case when count(lr) over w3 = 3 and sum(abs(lr)) over w3 >= 0 and count(lr) over p4 = 4 and stddev_samp(lr) over w3 is not null and stddev_samp(lr) over p4 is not null then 1 end as path_known, lag(q_s, 2) over w as q_before, lag(buy_short, 2) over w as b_before
+  from l window w as (partition by symbol, segment order by open_us), w3 as (partition by symbol, segment order by open_us rows between 2 preceding and current row), p4 as (partition by symbol, segment order by open_us rows between 6 preceding and 3 preceding))
+select symbol, open_us from x where length >= 9 and open_us % 7200000000 = 3600000000 and q_d >= 100 and path_known = 1 and q_before is not null and b_before is not null and """ + " and ".join(f"{c} is not null and isfinite({c})" for c in [*X.PRICE, "activity_short", "activity_long", "trade_activity", "buy_short", "buy_long", "log_turnover", "trade_size_change"]))
+def batch_eligible(spark, d):
+    """All 31 features finite, on the grid of two hours, in segments of nine bars and more."""
+    rows = X.enrich(X.long_segments(segs(spark, d), 9), S).withColumn("decision_us", F.col("open_us") + HOUR)
+    return X.eligible(rows, 2 * HOUR, 100).select("symbol", "open_us")
 
 
 @query("a03_peer_context", f"""with {SEGMENTS}, x as (select symbol, open_us, close / lag(close) over w - 1 as s, close / lag(close, 2) over w - 1 as m, close / lag(close, 3) over w - 1 as l from segs window w as (partition by symbol, segment order by open_us)),
@@ -191,7 +205,7 @@ select symbol, open_us, case when n >= 2 then round((ts - s) / n, 6) end as peer
   case when n >= 2 then round((up - (m > 0)::int) / n, 6) end as peer_positive, case when n >= 2 then round(sqrt(greatest((tmm - m * m) / n - ((tm - m) / n) ** 2, 0)), 5) end as peer_dispersion from t""")
 def peer_context(spark, d):
     f = Frame("symbol", "segment")
-    change = lambda n: F.col("close") / f.lag("close", n) - 1
+    change = lambda n: F.try_divide(F.col("close"), f.lag("close", n)) - 1
     rows = segs(spark, d).select("symbol", "open_us", change(1).alias("s"), change(2).alias("m"), change(3).alias("l")).where("l is not null")
     out = X.peers(rows, "open_us", "s", "m", "l", minimum=2)
     return out.select("symbol", "open_us", r6("peer_return"), r6("relative_short"), r6("relative_long"), r6("peer_positive"), F.round("peer_dispersion", 5).alias("peer_dispersion"))

@@ -23,10 +23,10 @@ BARS = (
     sum(value) as turnover, coalesce(sum(value) filter (where user_id % 2 = 0), 0) as taker, count(*) as trades
   from ticks group by all)"""
 )
-#: Bars with the number of their contiguous segment and the row in it.
+#: Admitted bars (a price of 0 is none, the segment breaks there) with the number of their contiguous segment.
 SEGMENTS = (
     BARS
-    + """, flagged as (select *, case when open_us - lag(open_us) over (partition by symbol order by open_us) = 3600000000 then 0 else 1 end as fresh from bars),
+    + """, flagged as (select *, case when open_us - lag(open_us) over (partition by symbol order by open_us) = 3600000000 then 0 else 1 end as fresh from bars where low > 0),
 segs as (select *, sum(fresh) over (partition by symbol order by open_us)::bigint as segment from flagged)"""
 )
 
