@@ -80,3 +80,26 @@ def source_quality(bars: DataFrame, step: int, key: str = "symbol", jump: float
         F.count_if(F.col("taker") == 0).alias("idle_rows"),
         F.count_if(jumped).alias("jumps"),
     )
+
+
+def grid_breaks(bars: DataFrame, step: int, key: str = "symbol") -> DataFrame:
+    """How often neighbours of a key are not one step apart, and whether its grid is complete."""
+    gap = F.col("open_us") - F.lag("open_us").over(W.partitionBy(key).orderBy("open_us"))
+    broken = F.coalesce(gap != step, F.lit(False))
+    return bars.withColumn("_x", broken).groupBy(key).agg(F.count_if("_x").alias("breaks"), (F.count_if("_x") == 0).alias("complete"))
+
+
+def latest(bars: DataFrame, expected_us: int, key: str = "symbol") -> DataFrame:
+    """The last bar of each key, and whether it is the expected one: a stale or unfinished key is not fresh."""
+    return bars.groupBy(key).agg(F.max("open_us").alias("latest_us")).withColumn("fresh", F.col("latest_us") == expected_us)
+
+
+def complete_rows(rows: DataFrame, needed: list[str], key: list[str]) -> DataFrame:
+    """Rows whose needed values are known; infinite, negative or repeated ones are refused in the plan."""
+    known = rows.dropna(subset=needed)
+    fine = F.lit(True)
+    for c in needed:
+        fine = fine & ~F.isnan(c) & (F.abs(F.col(c)) < F.lit(float("inf"))) & (F.col(c) >= 0)
+    once = F.count("*").over(W.partitionBy(*key)) == 1
+    checked = known.withColumn("_ok", fine & once)
+    return checked.where(F.when(F.col("_ok"), True).otherwise(F.raise_error(F.lit("a value is not finite and positive, or a key repeats")).cast("boolean"))).drop("_ok")

@@ -54,3 +54,63 @@ def canonicalize(rows: DataFrame, identity: list[str], digest: str) -> DataFrame
     found = rows.groupBy(*identity).agg(F.count("*").alias("n_rows"), F.min(digest).alias("_a"), F.max(digest).alias("_b"))
     state = F.when(F.col("_a") != F.col("_b"), "CONFLICT").otherwise("VALID")
     return found.select(*identity, "n_rows", state.alias("state"), F.when(F.col("_a") == F.col("_b"), F.col("n_rows") - 1).otherwise(0).alias("duplicate_rows"), F.when(F.col("_a") == F.col("_b"), F.col("_a")).alias(digest))
+
+
+def reconcile(predictions: DataFrame, futures: DataFrame, as_of_us: int, horizon_us: int, quantile: float) -> DataFrame:
+    """predictions: symbol, decision_us, state, value, origin (a digest of the last bar). futures: symbol, state, source
+    (null: none), future_us (its own decision), origin (its digest of the same bar), bars, wanted (bars that it has and
+    should have), realized (null if unknown), broken (its read failed). One of nine states, in the order of the ladder,
+    with pinball loss where observed."""
+    f = futures.select("symbol", F.struct("state", "source", "future_us", "origin", "bars", "wanted", "realized", "broken").alias("_f"))
+    d = predictions.join(f, "symbol", "left")
+    x = F.col
+    bad = x("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    state = (
+        F.when(x("state") == "conflict", "conflict").when(x("state") != "success", "unscored").when(bad, "invalid_prediction")
+        .when(F.lit(as_of_us) < x("decision_us") + horizon_us, "pending").when(x("_f.state") == "conflict", "conflict")
+        .when(x("_f.source").isNull(), "missing_source").when(x("_f.future_us") > as_of_us, "source_after_as_of")
+        .when(x("_f.broken"), "invalid_source").when(x("_f.bars") != x("_f.wanted"), "incomplete_horizon")
+        .when(x("_f.origin") != x("origin"), "conflict").when(x("_f.realized").isNull() | F.isnan("_f.realized"), "incomplete_horizon").otherwise("observed")
+    )
+    error = x("_f.realized") - x("value")
+    d = d.withColumn("outcome", state)
+    seen = x("outcome") == "observed"
+    return d.select("symbol", "decision_us", "outcome", F.when(seen, F.greatest(quantile * error, (quantile - 1) * error)).alias("loss"), F.when(seen, x("_f.realized") <= x("value")).alias("below"))
+
+
+def ready_origins(origins: DataFrame, bars: DataFrame, step: int, history: int, key: str = "symbol") -> DataFrame:
+    """Origins (key, decision_us) whose last completed bar exists, is valid and ends a run of `history` valid bars."""
+    by = W.partitionBy(key).orderBy("open_us")
+    near = (F.col("open_us") - F.lag("open_us").over(by) == step) & F.lag("valid").over(by) & F.col("valid")
+    d = bars.withColumn("_s", F.sum(F.when(near, 0).otherwise(1)).over(by)).withColumn("_n", F.row_number().over(W.partitionBy(key, "_s").orderBy("open_us")))
+    ready = d.where(F.col("valid") & (F.col("_n") >= history)).select(key, (F.col("open_us") + step).alias("decision_us"))
+    return origins.join(ready, [key, "decision_us"], "left_semi")
+
+
+def matched_archives(probes: DataFrame, manifests: DataFrame, key: list[str], checksum: str) -> DataFrame:
+    """probes with state: missing (no manifest), mismatch (another checksum) or verified."""
+    m = manifests.select(*key, F.col(checksum).alias("_c"))
+    state = F.when(F.col("_c").isNull(), "missing").when(F.col("_c") != F.col(checksum), "mismatch").otherwise("verified")
+    return probes.join(m, key, "left").withColumn("state", state).drop("_c")
+
+
+def requested(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of the wanted keys; a key asked for twice, or unknown, is refused in the plan."""
+    counted = wanted.groupBy(key).agg(F.count("*").alias("_asked"))
+    found = counted.join(rows.withColumn("_known", F.lit(True)), key, "left")
+    fine = F.when((F.col("_asked") == 1) & F.col("_known"), True).otherwise(F.raise_error(F.lit("a key is asked for twice or unknown")).cast("boolean"))
+    return found.where(fine).drop("_asked", "_known")
+
+
+def excluded(rows: DataFrame, exclusions: DataFrame, key: list[str]) -> DataFrame:
+    """Rows without the declared exclusions, each of which must exist."""
+    known = rows.select(*key).distinct().withColumn("_known", F.lit(True))
+    checked = exclusions.join(known, key, "left").where(F.when(F.col("_known"), True).otherwise(F.raise_error(F.lit("an exclusion names nothing")).cast("boolean")))
+    return rows.join(checked.select(*key), key, "left_anti")
+
+
+def symbol_coverage(manifests: DataFrame) -> DataFrame:
+    """manifests: symbol, month, days (array), missing. One row a symbol: distinct days, missing bars, months in order."""
+    days = manifests.select("symbol", F.explode("days").alias("day")).groupBy("symbol").agg(F.countDistinct("day").alias("days"))
+    rest = manifests.groupBy("symbol").agg(F.sum("missing").alias("missing"), F.array_sort(F.collect_set("month")).alias("months"))
+    return rest.join(days, "symbol", "left").select("symbol", F.coalesce("days", F.lit(0)).alias("days"), "missing", "months")

@@ -43,3 +43,31 @@ def inject(rows: DataFrame, stream: str, arrival: str, order: str, faults: DataF
     d = rows.withColumn("index", F.row_number().over(by) - 1)
     spans = faults.select(F.col("kind").alias("fault"), F.explode(F.expr("sequence(first_index, first_index + n - 1)")).alias("index"))
     return d.join(F.broadcast(spans), "index", "left")  # as many rows as the harness names
+
+
+def replay_with_faults(rows: DataFrame, faults: DataFrame, stream: str, identity: str, event: str, arrival: str, digest: str, order: str, lateness: int) -> DataFrame:
+    """replay() under faults. GAP and DISCONNECT rows are not observed (state is the fault) but their arrivals still move
+    the watermark; DUPLICATE rows are observed twice in a row (copy 0 and 1)."""
+    marked = inject(rows, stream, arrival, order, faults)
+    lost = F.coalesce(F.col("fault").isin("GAP", "DISCONNECT"), F.lit(False))
+    copies = F.when(F.col("fault") == "DUPLICATE", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    d = marked.withColumn("copy", F.explode(copies)).withColumn("_lost", lost)
+    d = d.withColumn("_at", F.struct(F.col(order).alias("o"), F.col("copy").alias("c")))
+    # a lost row is an identity of its own, so that it judges nobody
+    d = d.withColumn("_own", F.when(F.col("_lost"), F.concat(F.lit("lost:"), F.col("index").cast("string"))).otherwise(F.concat(F.lit("seen:"), F.col(identity).cast("string"))))
+    out = replay(d, stream, "_own", event, arrival, digest, "_at", lateness)
+    state = F.when(F.col("_lost"), F.col("fault")).otherwise(F.col("state"))
+    return out.withColumns({"state": state, "authoritative": F.col("authoritative") & ~F.col("_lost")}).drop("_lost", "_at", "_own")
+
+
+def replay_partition(rows: DataFrame, stream: str, identity: str, event: str, digest: str, order: str, lateness: int = 0) -> DataFrame:
+    """Replay of a canonical partition: every row arrives at its event time."""
+    return replay(rows.withColumn("_arrival", F.col(event)), stream, identity, event, "_arrival", digest, order, lateness).drop("_arrival")
+
+
+def event_time(kind: str, times: dict[str, str]):
+    """Event time of each variant: times maps a kind to the column that holds it."""
+    out = None
+    for k, c in times.items():
+        out = F.when(F.col(kind) == k, F.col(c)) if out is None else out.when(F.col(kind) == k, F.col(c))
+    return out

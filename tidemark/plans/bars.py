@@ -310,10 +310,9 @@ def episodes(spark, d):
     return I.episodes(rows, ["symbol"], "open_us", "exit_us")
 
 
-@query("w20_greedy_spacing", f"""with recursive {TICKS}, t as (select user_id, us, row_number() over (partition by user_id order by us) as k from ticks where user_id < 40),
+@query("w20_greedy_spacing", f"""with recursive {TICKS}, t as (select user_id, us, row_number() over (partition by user_id order by us) as k from (select distinct user_id, us from ticks)),
 g as (select user_id, us, k, us as kept, true as keep from t where k = 1 union all select t.user_id, t.us, t.k, case when t.us > g.kept + 86400000000 then t.us else g.kept end, t.us > g.kept + 86400000000 from g join t on t.user_id = g.user_id and t.k = g.k + 1) select user_id, us from g where keep""")
 def spacing(spark, d):
-    """All users. The SQL beside it folds users under 40 only, so it is an oracle for those."""
     rows = ticks(spark, d).select("user_id", "us").distinct()
     return I.greedy_spacing(rows, "user_id", "us", DAY)
 

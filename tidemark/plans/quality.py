@@ -11,7 +11,8 @@ from tidemark.plans.base import DAY, TICKS, query, read, ticks
 
 @query("a12_exact_quantiles", "select event_type, round(quantile_cont(value, 0.1), 5) as q10, round(quantile_cont(value, 0.5), 5) as q50, round(quantile_cont(value, 0.9), 5) as q90 from events group by 1")
 def exact_quantiles(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(q)), 5).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.9)])
+    out = E.exact_quantiles(read(spark, d, "events"), "value", [0.1, 0.5, 0.9], "event_type")
+    return out.select("event_type", *[F.round(c, 5).alias(c) for c in ("q10", "q50", "q90")])
 
 
 @query("a13_pinball", """with p as (select l_returnflag, l_linestatus, l_extendedprice as y, l_quantity * 1400 as p from lineitem)
@@ -28,15 +29,15 @@ def tail_support(spark, d):
     return t.groupBy("symbol", F.expr(f"us div {DAY}").alias("day")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("symbol_days"))
 
 
-@query("a15_drift", """with x as (select label < 5 as ref, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as f from embeddings), s as (select f, avg(v) filter (where ref) as ref_mean, avg(v) filter (where not ref) as cur_mean, stddev_pop(v) filter (where ref) as sd,
+@query("a15_drift", """with x as (select label < 5 as ref, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as f from embeddings), s as (select f, avg(v) filter (where ref) as ref_mean, avg(v) filter (where not ref) as cur_mean, stddev_pop(v) filter (where ref) as sd, quantile_cont(v, 0.5) filter (where ref) as ref_median, quantile_cont(v, 0.5) filter (where not ref) as cur_median,
   count(*) filter (where ref) as nr, count(*) filter (where not ref) as nc, min(v) filter (where ref) as lo, max(v) filter (where ref) as hi from x group by f),
 c as (select f, v, sum(ref::int) over (partition by f order by v range between unbounded preceding and current row) as r, sum((not ref)::int) over (partition by f order by v range between unbounded preceding and current row) as c from x),
 k as (select f, max(abs(r / nr - c / nc)) as cdf_distance from c join s using (f) group by f), o as (select f, count(*) filter (where not ref and (v < lo or v > hi)) / max(nc) as outside from x join s using (f) group by f)
-select f::bigint as feature, round(ref_mean, 6) as ref_mean, round(cur_mean, 6) as cur_mean, round((cur_mean - ref_mean) / sd, 5) as standardised, round(cdf_distance, 6) as cdf_distance, round(outside, 6) as outside from s join k using (f) join o using (f)""")
+select f::bigint as feature, round(ref_mean, 6) as ref_mean, round(cur_mean, 6) as cur_mean, round(ref_median, 6) as ref_median, round(cur_median, 6) as cur_median, round((cur_mean - ref_mean) / sd, 5) as standardised, round(cdf_distance, 6) as cdf_distance, round(outside, 6) as outside from s join k using (f) join o using (f)""")
 def drift(spark, d):
     rows = read(spark, d, "embeddings").select((F.col("label") < 5).alias("ref"), F.posexplode("embedding").alias("pos", "v")).select("ref", (F.col("pos") + 1).cast("long").alias("feature"), F.col("v").cast("double").alias("v"))
     out = E.distribution_shift(rows, "feature", "v", "ref")
-    return out.select("feature", F.round("ref_mean", 6).alias("ref_mean"), F.round("cur_mean", 6).alias("cur_mean"), F.round("standardised", 5).alias("standardised"), F.round("cdf_distance", 6).alias("cdf_distance"), F.round("outside", 6).alias("outside"))
+    return out.select("feature", F.round("ref_mean", 6).alias("ref_mean"), F.round("cur_mean", 6).alias("cur_mean"), F.round("ref_median", 6).alias("ref_median"), F.round("cur_median", 6).alias("cur_median"), F.round("standardised", 5).alias("standardised"), F.round("cdf_distance", 6).alias("cdf_distance"), F.round("outside", 6).alias("outside"))
 
 
 @query("a16_equal_origin", f"with {TICKS} select symbol, round(avg(m), 6) as mean_of_days from (select symbol, us // {DAY} as day, avg(value) as m from ticks group by 1, 2) group by 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -26,3 +28,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, and only where that is unset one of our own."""
+    sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not told:
+        told = f"file://{tempfile.gettempdir()}/tidemark-checkpoints" if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+    return told.rstrip("/")
