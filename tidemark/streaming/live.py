@@ -29,14 +29,15 @@ def admit(stream: DataFrame, keep: int = 100_000) -> DataFrame:
     sequence), CONFLICT (a sequence seen with another id, or an id with another sequence), REGRESSION, VALID.
 
     stream: symbol, event_id, sequence, arrival (a number that orders arrivals within a micro-batch; earlier
-    micro-batches arrived before). The state is the last sequence and the last `keep` ids with their sequences, oldest
+    micro-batches arrived before; without it the sequence orders a micro-batch, which hides regressions inside it). The state is the last sequence and the last `keep` ids with their sequences, oldest
     out first, so it is bounded and the answer does not depend on how the input is split into micro-batches."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, ids, sequences = state.get if state.exists else (None, [], [])
         seen = dict(zip(ids, sequences))
         by_sequence = {s: i for i, s in seen.items()}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["arrival", "event_id"], kind="stable")
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values(["arrival" if "arrival" in rows else "sequence", "event_id"], kind="stable")
         out = []
         for i, s in zip(rows["event_id"].tolist(), rows["sequence"].tolist()):
             if i in seen:
