@@ -40,7 +40,7 @@ from tidemark.llm.trie_join import SEEN, StarJoin, text_number
 
 PARAGRAPH, PIECE, WHOLE = 1, 2, 3
 UNITS = "kind int, unit long, id long, node long, at int, start int, end int, words int, link long, next int, keys array<long>"
-AROUND = "node long, pos int, side int, near string, edge int"
+AROUND = "node long, pos int, side int, near string, edge int, own string"
 FRAMES = "frame long, node long, at int, start int, end int"
 
 _WORD = re.compile(WORD)
@@ -103,6 +103,13 @@ def winnow(number: np.ndarray, owner: np.ndarray, k: int, window: int) -> np.nda
     return np.sort(i[keep]) - window
 
 
+def _places(texts: list, owner: np.ndarray, first: np.ndarray, end: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end character of each word in its text."""
+    chars = np.cumsum((data & 0xC0) != 0x80)
+    zero = np.concatenate([[0], chars[np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts]) - 1]])
+    return chars[first] - 1 - zero[owner], chars[end - 1] - zero[owner]
+
+
 def described(texts: list, min_words: int, min_run: int, window: int) -> Iterator[tuple]:
     """Chunks of: first text, numbers and owners of words, begin and end character of each word in its text, first and
     end word of the lines of min_words, first words of the pieces."""
@@ -114,9 +121,7 @@ def described(texts: list, min_words: int, min_run: int, window: int) -> Iterato
         opens = np.flatnonzero(np.diff(line, prepend=-1))
         closes = np.append(opens[1:], len(line))
         whole = closes - opens >= min_words
-        chars = np.cumsum((data & 0xC0) != 0x80)
-        zero = np.concatenate([[0], chars[np.cumsum([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts[lo:hi]]) - 1]])
-        yield lo, number, owner, chars[first] - 1 - zero[owner], chars[end - 1] - zero[owner], opens[whole], closes[whole], winnow(number, owner, min_run, window)
+        yield lo, number, owner, *_places(texts[lo:hi], owner, first, end, data), opens[whole], closes[whole], winnow(number, owner, min_run, window)
 
 
 def _band_keys(number: np.ndarray, a: np.ndarray, b: np.ndarray, factor: np.ndarray, k: int, bands: int, rows: int) -> np.ndarray:
@@ -193,8 +198,9 @@ def _emit(min_words: int, min_run: int, window: int, k: int, bands: int, rows: i
 
 
 def _around(min_run: int, window: int):
-    """Rows with node, text and asked (structs of pos, side): for each piece asked for, the text of up to `window` words
-    before (side -1) or after it (1), and the character where the piece begins or ends."""
+    """Rows with node, text and asked (structs of pos, side, own): for each piece asked for, the text of up to `window`
+    words before (side -1) or after it (1), the character where the piece begins or ends, and the text of `own` words
+    from the piece on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,24 +217,32 @@ def _around(min_run: int, window: int):
                     else:
                         edge = ends[hi - 1]
                         near = text[edge : ends[min(hi + window, len(ends)) - 1]]
-                    out.append((node, lo, x["side"], near, edge))
-            yield pd.DataFrame(out, columns=["node", "pos", "side", "near", "edge"])
+                    own = text[begins[lo] : ends[lo + x["own"] - 1]] if x["own"] else ""
+                    out.append((node, lo, x["side"], near, edge, own))
+            yield pd.DataFrame(out, columns=["node", "pos", "side", "near", "edge", "own"])
 
     return run
 
 
 def _frames(min_run: int, size: int):
-    """Rows with node, text and asked (positions of pieces): number, first word and characters of every run of `size`
-    words that holds a piece asked for."""
+    """Rows with node, a and b (first words of a run's first and last piece, fewer than size - min_run words apart), the
+    text before a (`left`), from a on (`own`) and after b's piece (`right`), and the characters where a begins and b's
+    piece stops: number, first word and characters of every run of `size` words that holds either piece. One that holds
+    a piece between them holds a or b too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for node, text, asked in zip(batch["node"], batch["text"], batch["asked"]):
-                number, _, first, end, data = words([text])
-                at = np.unique(np.concatenate([np.arange(max(0, p + min_run - size), min(p, len(number) - size) + 1) for p in asked]))
-                if len(at):
-                    chars = np.cumsum((data & 0xC0) != 0x80)
-                    yield pd.DataFrame({"frame": _spans(number, at, at + size).view(np.int64), "node": node, "at": at, "start": chars[first[at]] - 1, "end": chars[end[at + size - 1] - 1]})
+            texts = [f"{left}{own[: stop - begin]}{right}" for left, own, right, begin, stop in zip(batch["left"], batch["own"], batch["right"], batch["begin"], batch["stop"])]
+            for lo, hi in chunks(texts):
+                number, owner, first, end, data = words(texts[lo:hi])
+                begins, ends = _places(texts[lo:hi], owner, first, end, data)
+                opens = np.searchsorted(owner, np.arange(hi - lo + 1))
+                for x, o, e in zip(batch.iloc[lo:hi].itertuples(index=False), opens[:-1], opens[1:]):
+                    lead = int(np.searchsorted(begins[o:e], len(x.left)))  # words before a
+                    at = np.unique(np.concatenate([np.arange(max(0, p + min_run - size), min(p, e - o - size) + 1) for p in (lead, lead + x.b - x.a)]))
+                    if len(at):
+                        zero = x.begin - len(x.left)
+                        yield pd.DataFrame({"frame": _spans(number[o:e], at, at + size).view(np.int64), "node": x.node, "at": at + x.a - lead, "start": begins[o + at] + zero, "end": ends[o + at + size - 1] + zero})
 
     return run
 
@@ -262,21 +276,21 @@ def _merged(spans: DataFrame, begin: str, end: str) -> DataFrame:
 class Passages:
     """Repeats of runs of words between distinct texts."""
 
-    def __init__(self, pieces: DataFrame, texts: DataFrame, copies: DataFrame, min_run: int, window: int, report_from: int, repeated: bool, broadcast_rows: int):
+    def __init__(self, pieces: DataFrame, texts: DataFrame, copies: DataFrame, min_run: int, window: int, report_from: int, repeated: bool):
         """pieces: unit, node, at, link, next; texts: id, node, text; copies: node, least (its least id), m (documents)."""
         self.texts, self.copies, self.min_run, self.window, self.report_from = texts, copies, min_run, window, report_from
-        self.repeated, self.broadcast_rows = repeated, broadcast_rows
-        ends = pieces.groupBy("unit").agg(F.min(F.struct("node", "at")).alias("x"), F.max(F.struct("node", "at")).alias("y")).where("x < y").select("unit")
+        self.repeated = repeated
+        place = F.xxhash64("node", "at")
+        ends = pieces.groupBy("unit").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("unit")
         shared = pieces.join(ends, "unit", "left_semi")
         named = shared.join(copies.where("named"), "node").select("unit", "node", "least", "m", "at", "link", "next").distinct()
         self.members = stored(named, "shared-pieces")
 
-    def _text_of(self, asked: DataFrame, n: int) -> DataFrame:
-        """node, text, asked of the texts that `asked` (node, least, asked) names. n: what it holds in all."""
-        few = n <= self.broadcast_rows
+    def _text_of(self, asked: DataFrame) -> DataFrame:
+        """node, text, asked of the texts that `asked` (node, least, asked) names. What it asks for grows with the
+        texts, so it is broadcast only where the engine finds its bytes few."""
         asked = asked.withColumnsRenamed({"node": "_an", "least": "_al"})
-        held = F.broadcast(asked) if few else asked
-        found = self.texts.join(held, (F.col("node") == F.col("_an")) & F.col("id").eqNullSafe(F.col("_al"))).select("node", "text", "asked")
+        found = self.texts.join(asked, (F.col("node") == F.col("_an")) & F.col("id").eqNullSafe(F.col("_al"))).select("node", "text", "asked")
         return found.dropDuplicates(["node"]) if self.repeated else found
 
     def stars(self) -> DataFrame:
@@ -290,20 +304,23 @@ class Passages:
         by = W.partitionBy("node", "first", "shift").orderBy("at")
         goes_on = (F.lag("next").over(by) > 0) & (F.lag(F.col("at") + F.col("next")).over(by) == F.col("at")) & (F.lag(F.col("link") == F.col("first_link")).over(by))
         met = met.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("_new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-        runs = met.groupBy("node", "least", "first", "first_id", "shift", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("places").alias("places"), F.max("class_docs").alias("class_docs"), F.collect_list("at").alias("ats"))
+        runs = met.groupBy("node", "least", "first", "first_id", "shift", "run").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("places").alias("places"), F.max("class_docs").alias("class_docs"))
         return stored(runs.drop("run"), "runs")
 
-    def extended(self, runs: DataFrame) -> DataFrame:
-        """runs with the words wa to wb and characters of what agrees: start, end, and first_start, first_end in the text that stays."""
+    def extended(self, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """runs with the words wa to wb and characters of what agrees: start, end, and first_start, first_end in the text
+        that stays. Also the texts around the ends (AROUND), with the own words of runs that may stay short."""
+        n = F.col("b") - F.col("a") + self.min_run
+        own, none = F.when(n < self.report_from, n).otherwise(0), F.lit(0)
+        mine, theirs = ("node", "least"), (F.col("first").alias("node"), F.col("first_id").alias("least"))
+        ask = lambda who, pos, side, own: F.struct(*who, pos.alias("pos"), F.lit(side).alias("side"), own.alias("own"))
         ends = F.array(
-            F.struct("node", "least", F.col("a").alias("pos"), F.lit(-1).alias("side")), F.struct("node", "least", F.col("b").alias("pos"), F.lit(1).alias("side")),
-            F.struct(F.col("first").alias("node"), F.col("first_id").alias("least"), (F.col("a") - F.col("shift")).alias("pos"), F.lit(-1).alias("side")),
-            F.struct(F.col("first").alias("node"), F.col("first_id").alias("least"), (F.col("b") - F.col("shift")).alias("pos"), F.lit(1).alias("side")),
+            ask(mine, F.col("a"), -1, own), ask(mine, F.col("b"), 1, none),
+            ask(theirs, F.col("a") - F.col("shift"), -1, none), ask(theirs, F.col("b") - F.col("shift"), 1, none),
         )
-        asks = runs.select(F.explode(ends).alias("x")).select("x.*").distinct()
-        asked = stored(asks.groupBy("node", "least").agg(F.collect_list(F.struct("pos", "side")).alias("asked")), "asked")
-        n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
-        told = stored(self._text_of(asked, n).mapInPandas(_around(self.min_run, self.window), AROUND), "around")
+        asks = runs.select(F.explode(ends).alias("x")).select("x.*").groupBy("node", "least", "pos", "side").agg(F.max("own").alias("own"))
+        asked = stored(asks.groupBy("node", "least").agg(F.collect_list(F.struct("pos", "side", "own")).alias("asked")), "asked")
+        told = stored(self._text_of(asked).mapInPandas(_around(self.min_run, self.window), AROUND), "around")
         for pos, side in (("a", -1), ("b", 1)):
             own = told.where(F.col("side") == side)
             mine, theirs = own.select("node", F.col("pos").alias(pos), F.struct("near", "edge").alias("x")), own.select(F.col("node").alias("first"), F.col("pos").alias("_fp"), F.struct("near", "edge").alias("y"))
@@ -311,25 +328,25 @@ class Passages:
             runs = runs.withColumn("more", _agree(side)("x.near", "y.near"))
             runs = runs.withColumns({f"{pos}_own": F.col("x.edge") + side * F.col("more.one"), f"{pos}_first": F.col("y.edge") + side * F.col("more.two"), f"w{pos}": F.col("a") - F.col("more.n") if side < 0 else F.col("b") + self.min_run + F.col("more.n")}).drop("x", "y", "more")
         out = stored(runs, "extended")
-        discard(asked, told)
-        return out
+        discard(asked)
+        return out, told
 
     def found(self) -> DataFrame:
         """doc_id, start, end, words, class_id, class_docs, removed."""
         runs = self.stars()
-        wide = self.extended(runs)
+        wide, around = self.extended(runs)
         discard(runs)
         whole = _merged(wide, "wa", "wb").groupBy("node", "least", "first", "first_id", "shift", "run")
-        whole = whole.agg(F.min("wa").alias("wa"), F.max("wb").alias("wb"), F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("first_start"), F.max("b_first").alias("first_end"), F.max("class_docs").alias("class_docs"), F.max("places").alias("places"), F.flatten(F.collect_list("ats")).alias("ats"))
+        whole = whole.agg(F.min("wa").alias("wa"), F.max("wb").alias("wb"), F.min("a_own").alias("start"), F.max("b_own").alias("end"), F.min("a_first").alias("first_start"), F.max("b_first").alias("first_end"), F.max("class_docs").alias("class_docs"), F.max("places").alias("places"), F.collect_set(F.struct("a", "b")).alias("ends"))
         whole = stored(whole.withColumn("words", F.col("wb") - F.col("wa")), "repeats")
         rows = self._rows(whole.where(F.col("words") >= self.report_from))
         short = whole.where((F.col("words") < self.report_from) & (F.col("places") > 2))
-        asked = stored(short.groupBy("node", "least").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("asked")), "short-repeats")
-        n = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
-        if not n:
-            return rows
-        frames = self._text_of(asked, n).mapInPandas(_frames(self.min_run, self.report_from), FRAMES)
-        frames = stored(frames.join(self.copies.where("named"), "node"), "frames")
+        asked = short.select("node", F.explode("ends").alias("x")).select("node", "x.a", "x.b").distinct()
+        left = around.where("side = -1").select("node", F.col("pos").alias("a"), F.col("near").alias("left"), "own", F.col("edge").alias("begin"))
+        right = around.where("side = 1").select("node", F.col("pos").alias("b"), F.col("near").alias("right"), F.col("edge").alias("stop"))
+        frames = asked.join(left, ["node", "a"]).join(right, ["node", "b"]).mapInPandas(_frames(self.min_run, self.report_from), FRAMES)
+        frames = stored(frames.dropDuplicates(["node", "at"]).join(self.copies.where("named"), "node"), "frames")
+        discard(wide, around)
         place = F.struct(F.col("least").isNull(), "least", "at", "node", "start", "end")
         by_text = frames.groupBy("frame", "node").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.first("m").alias("m"))
         classes = by_text.groupBy("frame").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("m").alias("class_docs")).where("x < y")
@@ -398,8 +415,9 @@ def find(docs: DataFrame, threshold: int = 80, k: int = 5, recall: float = 0.999
 
     # runs
     pieces = told.where(F.col("kind") == PIECE).select("unit", "node", "at", "link", "next")
-    runs = Passages(pieces, texts, copies.select("node", "least", "m", "named"), min_run, exact_from - min_run + 1, report_from, repeated, broadcast_rows)
+    runs = Passages(pieces, texts, copies.select("node", "least", "m", "named"), min_run, exact_from - min_run + 1, report_from, repeated)
+    discard(told)
     passages = stored(runs.found(), "passages")
-    discard(told, runs.members)
+    discard(runs.members)
     parts = whole.unionByName(passages).withColumn("kind", F.lit("piece"))
     return lines.unionByName(parts.select(lines.columns))
