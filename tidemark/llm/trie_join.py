@@ -20,8 +20,10 @@ remainder stays under what its lengths ask for. Overlaps are exact.
 
 Rounds. Round 1 verifies each class with the centre that it shares most with, round 2 the other centres in
 another component. What is left are pairs in one prefix group whose components differ. Of groups with the same members
-one is kept. Groups of up to `pairwise` classes give their pairs; in larger ones blocks of classes meet blocks, each
-as one trie, so no pair is a row. No link between components is lost, while links inside one need no check.
+one is kept. Groups of up to `pairwise` classes give their pairs; larger ones are cut into blocks of classes, which meet
+themselves and, where the group's components still differ then, each other, each block as one trie. A block joins
+components as it finds links, so it gives fewer links than it has classes and no pair is a row. No link between
+components is lost, while links inside one need no check.
 
 Defined cases: null, empty and wordless texts have empty sets and are alone; a text under n words is one n-gram;
 repeated rows share a class; an empty table gives an empty result; extra columns stay unread.
@@ -185,15 +187,26 @@ QUERY, CANDIDATE, BOTH = 0, 1, 2
 
 def _verify(k: int, percent: int, order: Broadcast):
     """Rows (grp, role, id, comp, text) arrive sorted by group and role. Links of each group's queries with its
-    candidates; rows of role BOTH are either."""
+    candidates, as many as join components (fewer than the group has rows); rows of role BOTH are either."""
 
     def links(group: list[tuple]) -> Iterator[tuple]:
+        up: dict[int, int] = {}
+
+        def root(member: tuple) -> int:
+            x = member[2] if member[3] is None else member[3]  # a component is named by one of its ids
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
         ends = [g for g in group if g[1] != QUERY]
-        for i, (_, role, a, comp, q) in enumerate(group):
-            if role != CANDIDATE:
-                open_ = [g for g in (group[i + 1 :] if role == BOTH else ends) if g[2] != a and (comp is None or g[3] != comp)]
-                for j in trie_links(q, [g[4] for g in open_], percent):
-                    yield a, open_[j][2]
+        for i, own in enumerate(group):
+            if own[1] != CANDIDATE:
+                mine = root(own)
+                open_ = [g for g in (group[i + 1 :] if own[1] == BOTH else ends) if root(g) != mine]
+                for j in trie_links(own[4], [g[4] for g in open_], percent):
+                    if (other := root(open_[j])) != (mine := root(own)):
+                        up[other] = mine
+                        yield own[2], open_[j][2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, place = order.value
@@ -297,14 +310,24 @@ class StarJoin:
         n_many = many.count()
         if not n_many:
             return out
-        # blocks of classes of a group; every block meets itself and every later one
+        # blocks of classes of a group: each meets itself, then each later one where the group still holds several components
         n_blocks = F.ceil(F.col("m") / self.block)
-        placed = many.withColumn("k", F.pmod(F.xxhash64("id"), n_blocks)).withColumn("n_blocks", n_blocks)
-        placed = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+        placed = many.withColumn("k", F.pmod(F.xxhash64("id"), n_blocks))
+        name = F.concat_ws(":", "gram", "k").alias("grp")
+        inside = self._checked(placed.select(name, F.lit(BOTH).alias("role"), "id", "comp"), n_many)
+        label = components(label.selectExpr("v as a", "comp as b").unionByName(inside))
+        named = placed.drop("comp").join(label.withColumnRenamed("v", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        named = stored(named, "placed")
+        discard(label)
+        still = named.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+        left = named.join(still, "gram", "left_semi").withColumn("n_blocks", n_blocks)
+        most = left.agg(F.sum("n_blocks")).first()[0]
+        if not most:
+            return out.unionByName(inside)
+        met = left.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).where("j <> k")
         name = F.concat_ws(":", "gram", F.least("k", "j"), F.greatest("k", "j")).alias("grp")
-        role = F.when(F.col("j") == F.col("k"), BOTH).when(F.col("k") < F.col("j"), QUERY).otherwise(CANDIDATE).alias("role")
-        most = many.agg(F.sum(n_blocks)).first()[0]
-        return out.unionByName(self._checked(placed.select(name, role, "id", "comp"), most))
+        role = F.when(F.col("k") < F.col("j"), QUERY).otherwise(CANDIDATE).alias("role")
+        return out.unionByName(inside).unionByName(self._checked(met.select(name, role, "id", "comp"), most))
 
 
 class TrieJoin:
